@@ -1,12 +1,54 @@
 """SQL of the queries, as DuckDB runs it over the same tables."""
 
-RECORDS = "SELECT id, arg_max(code, loaded_at) AS code FROM nodes WHERE code IS NOT NULL GROUP BY id"
+RECORDS = "SELECT id, max({'at': loaded_at, 'code': code}).code AS code FROM nodes WHERE code IS NOT NULL GROUP BY id"
+WORDS = "[lower(x) FOR x IN regexp_extract_all({}, '[A-Za-z0-9_]+')]"
 LONG_WORDS = f"""SELECT id, unnest(w) AS t, len(w) AS n FROM (
-    SELECT id, list_distinct([lower(x) FOR x IN regexp_extract_all(code, '[A-Za-z0-9_]+')]) AS w FROM ({RECORDS}))
-    WHERE len(w) >= 20"""
+    SELECT id, list_distinct({WORDS.format("code")}) AS w FROM ({RECORDS})) WHERE len(w) >= 20"""
+LONG_IDS = f"SELECT id, code FROM ({RECORDS}) WHERE len(list_distinct({WORDS.format('code')})) >= 20"
+SIMILAR = "GROUP BY a.id, b.id HAVING count(*) * 8 >= 3 * (max(a.n) + max(b.n))"
+CASE = "regexp_replace(lower(regexp_replace({}, '[^A-Za-z0-9]+', '', 'g')), '^0+', '')"
+PLACED = f"""SELECT r.id, s.split, r.tc FROM (
+    SELECT id, {CASE.format("max({'at': loaded_at, 'test_id': test_id}).test_id")} AS tc FROM nodes WHERE code IS NOT NULL GROUP BY id) r
+    JOIN (SELECT {CASE.format("test_id")} AS tc, max({{'at': assigned_at, 'split': CASE
+        WHEN lower(trim(split)) IN ('train', 'training') THEN 'train'
+        WHEN lower(trim(split)) IN ('validation', 'val', 'valid', 'dev') THEN 'validation'
+        WHEN lower(trim(split)) IN ('test', 'testing') THEN 'test' END}}).split AS split FROM dataset_splits GROUP BY 1) s
+    ON r.tc = s.tc WHERE s.split IS NOT NULL"""
+TERMS = f"""SELECT t, sum(k)::BIGINT AS n, count(*) AS n_records FROM (
+    SELECT id, t, count(*) AS k FROM (SELECT id, unnest({WORDS.format("code")}) AS t FROM ({RECORDS})) GROUP BY id, t) GROUP BY t"""
+ALL_RECORDS = "(SELECT count(DISTINCT id) FROM nodes WHERE code IS NOT NULL)"
+BARE = "lower(regexp_replace({}, '[^A-Za-z0-9]+', '', 'g'))"
+ENTRIES = "[y FOR y IN [regexp_replace(z, '^\\s+', '') FOR z IN string_split({}, ',')] IF y <> '']"
+CANONICAL = f"""SELECT id, {BARE.format('''list_aggregate(list_transform(p, lambda x, i: CASE
+    WHEN i > 1 AND i < len(p) AND p[i - 1] = '{' AND p[i + 1] = '}' AND len(''' + ENTRIES.format("x") + ''') >= 2
+        AND len([e FOR e IN ''' + ENTRIES.format("x") + ''' IF NOT starts_with(e, '.')]) = 0
+    THEN list_aggregate(list_sort([lower(regexp_replace(e, '[^A-Za-z0-9]+', '', 'g')) FOR e IN ''' + ENTRIES.format("x") + ''']), 'string_agg', ',')
+    ELSE x END), 'string_agg', '')''')} AS k
+    FROM (SELECT id, regexp_extract_all(code, '[{{}}]|[^{{}}]+') AS p FROM ({LONG_IDS}))"""
+VALUES = f"""SELECT DISTINCT test_id, v FROM (
+    SELECT test_id, unnest(['a:' || {BARE.format("x")} FOR x IN string_split(author, ';')]) AS v FROM test_cases
+    UNION ALL SELECT test_id, 'p:' || {BARE.format("project")} FROM test_cases
+    UNION ALL SELECT test_id, 'v:' || {BARE.format("advisory")} FROM test_cases)
+    WHERE v IS NOT NULL AND substr(v, 3) NOT IN ('', 'unknown', 'none', 'na', 'anonymous', 'tbd')"""
+RUNS = """SELECT {id}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (
+    SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id}, """ + WORDS.format("text") + """ AS w FROM {t} WHERE text IS NOT NULL))"""
 
 SQL = {
     "p1_found": f"""WITH w AS MATERIALIZED ({LONG_WORDS})
-        SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.t = b.t AND a.id < b.id
-        GROUP BY a.id, b.id HAVING count(*) * 8 >= 3 * (max(a.n) + max(b.n))""",
+        SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.t = b.t AND a.id < b.id {SIMILAR}""",
+    "p3_found": f"""WITH p AS MATERIALIZED ({PLACED}), w AS MATERIALIZED (SELECT l.*, p.split FROM ({LONG_WORDS}) l JOIN p USING (id)),
+        hit AS (SELECT DISTINCT id FROM (SELECT a.id FROM w a JOIN w b ON a.t = b.t AND a.split <> 'train' AND b.split = 'train' {SIMILAR})),
+        c AS (SELECT {CASE.format("test_id")} AS tc, min(lower(trim(source))) AS source FROM test_cases GROUP BY 1)
+        SELECT p.split, coalesce(c.source, 'unknown') AS source, p.id AS node_id FROM hit JOIN p USING (id) LEFT JOIN c USING (tc)""",
+    "p4_found": f"""SELECT term, mark FROM (SELECT t AS term, CASE WHEN n_records < 3 THEN 'rare'
+        WHEN n_records * 100 > 2 * {ALL_RECORDS} THEN 'common' END AS mark FROM ({TERMS})) WHERE mark IS NOT NULL AND NOT regexp_matches(term, '^[0-9]')""",
+    "p4_counts": f"""SELECT t AS gram, n, n_records, CASE WHEN n_records < 3 THEN 'rare'
+        WHEN n_records * 100 > 2 * {ALL_RECORDS} THEN 'common' END AS mark FROM ({TERMS})""",
+    "p5_found": f"""WITH c AS MATERIALIZED ({CANONICAL}), k AS (SELECT k, min(id) AS keep_id FROM c GROUP BY k)
+        SELECT keep_id, id AS copy_id FROM c JOIN k USING (k) WHERE id <> keep_id""",
+    "p5_counts": f"SELECT min(id) AS keep_id, count(*) AS n_copies FROM ({CANONICAL}) GROUP BY k",
+    "p6_found": f"""WITH RECURSIVE v AS MATERIALIZED ({VALUES}), e AS MATERIALIZED (SELECT DISTINCT a.test_id AS x, b.test_id AS y FROM v a JOIN v b USING (v)),
+        r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT x AS test_id, min(y) AS group_key FROM r GROUP BY x HAVING count(DISTINCT y) > 1""",
+    "p8_found": f"""SELECT DISTINCT doc_id, item_id FROM ({RUNS.format(id="doc_id", t="documents")}) d JOIN ({RUNS.format(id="item_id", t="eval_items")}) i USING (g)""",
 }

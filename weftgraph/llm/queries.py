@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.io import table
-from weftgraph.llm import p1_near
+from weftgraph.llm import p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p8_eval
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,54 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return p1_near.similar_classes(table(spark, d, "nodes"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces.oversized_pieces(table(spark, d, "nodes")).drop("text")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_leaks.leaked(table(spark, d, "nodes"), table(spark, d, "test_cases"), table(spark, d, "dataset_splits"))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return p3_leaks.coverage_report(table(spark, d, "nodes"), table(spark, d, "test_cases"), table(spark, d, "dataset_splits"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_terms.marked_terms(table(spark, d, "nodes"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p4_terms.term_counts(table(spark, d, "nodes"))
+
+
+def p4_bigrams(spark: SparkSession, d: str) -> DataFrame:
+    return p4_terms.term_counts(table(spark, d, "nodes"), sigma=2)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_layout.copies(table(spark, d, "nodes"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p5_layout.copy_counts(table(spark, d, "nodes"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_kin.kin_groups(table(spark, d, "test_cases"))
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    return p6_kin.kin_splits(table(spark, d, "test_cases"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_eval.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).drop("n_words")
+
+
+def p8_runs(spark: SparkSession, d: str) -> DataFrame:
+    return p8_eval.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
 
