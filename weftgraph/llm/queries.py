@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.io import table
-from weftgraph.llm import p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p8_eval
+from weftgraph.llm import p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p7_ids, p8_eval, p9_subjects
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,6 +58,10 @@ def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     return p6_kin.kin_splits(table(spark, d, "test_cases"))
 
 
+def p7_ids_query(spark: SparkSession, d: str) -> DataFrame:
+    return p7_ids.token_ids(table(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_eval.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).drop("n_words")
 
@@ -66,8 +70,22 @@ def p8_runs(spark: SparkSession, d: str) -> DataFrame:
     return p8_eval.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _labelled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects.subjects_of(*_labelled(spark, d))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects.composition(*_labelled(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(v)}
+    found = [p1_found, p1_classes, p2_found, p3_found, p3_coverage, p4_found, p4_counts, p4_bigrams, p5_found, p5_counts, p6_found, p6_splits]
+    named = {f.__name__: f for f in found}
+    return named | {"p7_ids": p7_ids_query, "p8_found": p8_found, "p8_runs": p8_runs, "p9_found": p9_found, "p9_composition": p9_composition}
 
 
 def oracle_sql() -> dict[str, str]:
