@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 #: Sentences that must hold a pattern, the surety of a rule, and how many pseudo-sentences pull it to the subject's overall share.
 LEAST_SUPPORT, LEAST_SURE, PRIOR = 3, 0.5, 1.0
+#: Of more sentences a pattern must be in this share of them, one in so many; and by how much a special rule must be surer than a general one.
+ONE_IN, MARGIN = 5_000, 0.05
 #: How sure the surest matching rule must be for a sentence to deal with its subject.
 LEAST_EVIDENCE = 0.7
 #: A document's share of sentences, as a fraction.
@@ -100,12 +102,13 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Rules:
     total = rows.count()
     if not total:
         return Rules({})
-    support = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_SUPPORT)
+    least = max(LEAST_SUPPORT, total // ONE_IN)
+    support = each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     hits = each.withColumn("subject", F.explode("subjects")).groupBy("term", "subject").agg(F.count(F.lit(1)).alias("k"))
     best = hits.groupBy("term").agg(F.max("k").alias("k")).join(support, "term").where(F.col("k") >= F.col("n") * LEAST_SURE)
     sure = {r["term"]: (r["k"] / r["n"], r["n"]) for r in best.collect()}
     # An n-gram inside which a shorter one is as sure says nothing new; nor does a shorter one that occurs in a longer one alone.
-    kept = {t for t, (c, n) in sure.items() if not any(p in sure and sure[p][0] >= c for p in parts(t))}
+    kept = {t for t, (c, n) in sure.items() if not any(p in sure and sure[p][0] + MARGIN >= c for p in parts(t))}
     session = documents.sparkSession
     terms = F.broadcast(session.createDataFrame([(t,) for t in sorted(kept)] or [("",)], "term string"))
     labelled = F.transform("subjects", lambda s: F.concat(F.lit("="), s))
@@ -114,7 +117,7 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Rules:
     n_baskets = baskets.count()
     if not n_baskets:
         return Rules({})
-    patterns = FPGrowth(itemsCol="items", minSupport=LEAST_SUPPORT / n_baskets).fit(baskets).freqItemsets
+    patterns = FPGrowth(itemsCol="items", minSupport=least / n_baskets).fit(baskets).freqItemsets
     labels_in = F.filter("items", lambda x: F.startswith(x, F.lit("=")))
     patterns = patterns.where((F.size(labels_in) <= 1) & (F.size("items") - F.size(labels_in) <= 2)).collect()
     freq = {frozenset(r["items"]): r["freq"] for r in patterns}
@@ -126,7 +129,7 @@ def mine(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> Rules:
             continue
         subject = label[0][1:]
         share = (n + PRIOR * prior[subject] / total) / (freq[body] + PRIOR)
-        if share >= LEAST_SURE and not any(made.get((frozenset([t]), subject), 0) >= share for t in body if len(body) > 1):
+        if share >= LEAST_SURE and not any(made.get((frozenset([t]), subject), 0) + MARGIN >= share for t in body if len(body) > 1):
             made[body, subject] = share
     by_term: dict[str, list[tuple[frozenset, str, float]]] = {}
     best_of: dict[frozenset, float] = {}
