@@ -14,7 +14,12 @@ KEYWORDS = [
     "this", "throw", "true", "try", "typedef", "union", "unsigned", "using", "virtual", "void", "volatile", "wchar_t", "while", "size_t", "main", "stdin", "stdout", "stderr",
 ]
 
-TOKEN = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9_.]*|" + "|".join("".join("\\" + c for c in x) for x in OPERATORS) + r"|[^\sA-Za-z0-9_]"
+#: Loops are possessive, so that literals of any length are matched without recursion.
+TOKEN = (
+    r"\"[^\"\\]*+(?:\\[^\n][^\"\\]*+)*+\"|'[^'\\]*+(?:\\[^\n][^'\\]*+)*+'|[A-Za-z_][A-Za-z0-9_]*|[0-9][A-Za-z0-9_.]*|"
+    + "|".join("".join("\\" + c for c in x) for x in OPERATORS)
+    + r"|[^\sA-Za-z0-9_]"
+)
 
 
 def c_tokens(code: Column) -> Column:

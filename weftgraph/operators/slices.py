@@ -178,10 +178,11 @@ def slice_lines(g: CodeGraph, members: DataFrame) -> DataFrame:
 
 
 def rendered(lines: DataFrame) -> DataFrame:
-    """``(slice_id, path, start_line, n_lines, text)``: a block for each slice and file: its lines with their numbers in order."""
+    """``(slice_id, path, start_line, lines, text)``: a block for each slice and file: its lines with their numbers in order, and these as one text."""
     cell = F.sort_array(F.collect_list(F.struct("line", "code")))
-    text = F.array_join(F.transform(cell, lambda x: F.concat_ws(" ", x["code"], x["line"])), "\n")
-    return lines.groupBy("slice_id", "path").agg(F.min("line").alias("start_line"), F.count(F.lit(1)).alias("n_lines"), text.alias("text"))
+    each = F.transform(cell, lambda x: F.concat_ws(" ", x["code"], x["line"]))
+    blocks = lines.groupBy("slice_id", "path").agg(F.min("line").alias("start_line"), each.alias("lines"))
+    return blocks.withColumn("text", F.array_join("lines", "\n"))
 
 
 def label_slices(lines: DataFrame, vul_lines: DataFrame) -> DataFrame:
