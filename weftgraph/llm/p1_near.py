@@ -20,8 +20,8 @@ def similar_pairs(nodes: DataFrame, num: int = NUM, den: int = DEN, least_words:
     Null and empty codes, and codes with fewer words, are in no pair; an empty table gives no rows; repeated deliveries count once; records with
     equal words are pairs of similarity 1.
     """
-    members, sets = long_sets(nodes, least_words)
-    near = similar_sets(sets, num, den).select("a", "b")
+    rows, members, sets = long_sets(nodes, least_words)
+    near = similar_sets(rows, sets, num, den).select("a", "b")
     left = members.select(F.col("id").alias("id_x"), F.col("sid").alias("a"))
     right = members.select(F.col("id").alias("id_y"), F.col("sid").alias("b"))
     across = near.join(left, "a").join(right, "b").select("id_x", "id_y")
@@ -36,9 +36,9 @@ def similar_classes(nodes: DataFrame, num: int = NUM, den: int = DEN, least_word
     ``class_id`` is the smallest id with exactly the same words, ``n_copies`` the size of that class, ``n_links`` to how many other classes the
     record's class is similar. No group is expanded into its pairs.
     """
-    members, sets = long_sets(nodes, least_words)
-    near = similar_sets(sets, num, den)
-    ends = near.select(F.col("a").alias("sid")).unionByName(near.select(F.col("b").alias("sid")))
+    rows, members, sets = long_sets(nodes, least_words)
+    near = similar_sets(rows, sets, num, den)
+    ends = near.select(F.explode(F.array("a", "b")).alias("sid"))
     links = ends.groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     classes = members.groupBy("sid").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"))
     classes = classes.join(links, "sid", "left").fillna(0, ["n_links"])

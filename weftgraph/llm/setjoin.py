@@ -33,16 +33,17 @@ PAIRS_AT_ONCE = 2_000_000
 LEFT, RIGHT = 1, 2
 
 
-def long_sets(nodes: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame]:
-    """``members(id, sid)`` and ``sets(sid, h)`` of the long records.
+def long_sets(nodes: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows(id, loaded_at, sid, h)`` of the long codes as delivered, ``members(id, sid)`` and ``sets(sid, h)`` of the long records.
 
-    Records with the same words share a set. Rows without id are left out; of several deliveries the one with the latest ``loaded_at`` counts.
+    Records with the same words share a set. Rows without id are left out; of several deliveries the one with the latest ``loaded_at`` counts. The
+    rows are kept, so that codes are cut into words once.
     """
     rows = only_long(nodes.where(F.col("id").isNotNull()).select("id", "loaded_at", "code"), "code", least_words)
-    rows = rows.select("id", "loaded_at", F.xxhash64("h").alias("sid"), "h")
+    rows = kept(rows.select("id", "loaded_at", F.xxhash64("h").alias("sid"), "h"))
     members = rows.groupBy("id").agg(F.max(F.struct("loaded_at", "sid")).getField("sid").alias("sid"))
     sets = rows.groupBy("sid").agg(F.first("h").alias("h"))
-    return members, sets
+    return rows, members, sets
 
 
 def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +74,9 @@ def _sum(key, group):
     return pd.DataFrame({"part": [key[0]], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
-    """How many entries of ``h`` fall on each counter, over all sets: an array of fixed width."""
-    parts = sets.select("h").mapInArrow(_count, "part int, at binary, n binary")
+def sketch(rows: DataFrame) -> np.ndarray:
+    """How many entries of ``h`` fall on each counter, over all rows: an array of fixed width."""
+    parts = rows.select("h").mapInArrow(_count, "part int, at binary, n binary")
     rows = parts.groupBy("part").applyInPandas(_sum, "part int, n binary").collect()
     total = np.zeros((1 << (SKETCH_BITS - PART_BITS), 1 << PART_BITS), dtype=np.uint32)
     for r in rows:
@@ -208,17 +209,17 @@ def _multiply(num: int, den: int, both: bool):
     return run
 
 
-def similar_sets(sets: DataFrame, num: int, den: int, both: bool = True) -> DataFrame:
+def similar_sets(rows: DataFrame, sets: DataFrame, num: int, den: int, both: bool = True) -> DataFrame:
     """``(a, b, n_a, n_b, overlap)``: pairs of different sets whose overlap is at least ``num / den`` of their union, each once.
 
-    ``sets(sid, h)`` has distinct ``sid`` and sorted distinct keys. With ``both=False`` a third column ``side`` says on which sides of the join a
+    ``sets(sid, h)`` has distinct ``sid`` and sorted distinct keys, ``rows`` the same ``h`` at least once. With ``both=False`` a third column ``side`` says on which sides of the join a
     set stands (1 left, 2 right, 3 both), and only pairs across are given, the larger set as ``a`` as else.
     """
     spark = sets.sparkSession
     if both:
         sets = sets.select("sid", "h", F.lit(LEFT | RIGHT).cast("byte").alias("side"))
     sets = kept(sets.select("sid", "h", F.col("side").cast("byte").alias("side")))
-    counts = spark.sparkContext.broadcast(sketch(sets))
+    counts = spark.sparkContext.broadcast(sketch(rows))
     entries = sets.mapInArrow(_entries(counts, num, den), ENTRY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "n")
