@@ -54,25 +54,34 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, most_nodes: int
     """``(start, end, path)``: one path for each start and end that has one, the shortest, of these the least in order of ids.
 
     ``starts(start)``, ``ends(start, end)`` says which ends count for a start. A path holds a node ``most_visits`` times at most and ``most_nodes``
-    nodes; it doesn't go through or end at a node of ``stops(start, id)``, save its own start. Pairs that have a path are not followed any further.
+    nodes; it doesn't go through or end at a node of ``stops(start, id)``, save its own start. Of the paths that get from a start to a node in the
+    same number of steps only the least goes on, so that a round holds a row for each start and node.
     """
+    wanted = cut(ends.select("start", F.col("end").alias("at")).distinct())
+    return _paths(edges, starts, lambda step: step.join(wanted, ["start", "at"], "left_semi"), most_nodes, most_visits, stops)
+
+
+def paths_to_any(edges: DataFrame, starts: DataFrame, ends: DataFrame, most_nodes: int = 20, most_visits: int = 2) -> DataFrame:
+    """The same where every end of ``ends(end)`` counts for every start."""
+    wanted = cut(ends.select(F.col("end").alias("at")).distinct())
+    return _paths(edges, starts, lambda step: step.join(wanted, "at", "left_semi"), most_nodes, most_visits, None)
+
+
+def _paths(edges: DataFrame, starts: DataFrame, arrived, most_nodes: int, most_visits: int, stops: DataFrame | None) -> DataFrame:
     edges = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
-    ends = cut(ends.select("start", "end").distinct())
     frontier = starts.select("start", F.col("start").alias("at"), F.array("start").alias("path")).distinct()
-    found = None
+    found = arrived(frontier)
     for _ in range(most_nodes - 1):
         step = frontier.withColumnRenamed("at", "src").join(edges, "src").withColumnRenamed("dst", "at")
         step = step.where(F.size(F.filter("path", lambda x: x == F.col("at"))) < most_visits)
         if stops is not None:
             step = step.join(stops.select("start", F.col("id").alias("at")), ["start", "at"], "left_anti")
-        step = cut(step.select("start", "at", F.concat("path", F.array("at")).alias("path")).groupBy("start", "at").agg(F.min("path").alias("path")))
-        if step.isEmpty():
+        frontier = cut(step.select("start", "at", F.concat("path", F.array("at")).alias("path")).groupBy("start", "at").agg(F.min("path").alias("path")))
+        if frontier.isEmpty():
             break
-        hits = step.join(ends.withColumnRenamed("end", "at"), ["start", "at"]).select("start", F.col("at").alias("end"), "path")
-        found = hits if found is None else found.unionByName(hits.join(found, ["start", "end"], "left_anti"))
-        frontier = step
-    empty = starts.sparkSession.createDataFrame([], "start long, end long, path array<long>")
-    return empty if found is None else found.groupBy("start", "end").agg(F.min(F.struct(F.size("path").alias("n"), "path")).getField("path").alias("path"))
+        found = found.unionByName(arrived(frontier))
+    best = F.min(F.struct(F.size("path").alias("n"), "path")).getField("path").alias("path")
+    return found.groupBy("start", F.col("at").alias("end")).agg(best)
 
 
 def reaching_definitions(flow: DataFrame, symbols: DataFrame) -> DataFrame:

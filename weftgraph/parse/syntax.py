@@ -35,9 +35,12 @@ class Node:
     is_cfg: bool = False
 
     def walk(self):
-        yield self
-        for c in self.children:
-            yield from c.walk()
+        """The node and those below it in order of the text."""
+        stack = [self]
+        while stack:
+            n = stack.pop()
+            yield n
+            stack.extend(reversed(n.children))
 
 
 class Parser:
@@ -418,6 +421,8 @@ class Parser:
                 return found
         except Unparsable:
             pass
+        except RecursionError:
+            return self._too_deep(first)
         self.at = first
         return self._water()
 
@@ -427,6 +432,13 @@ class Parser:
         self.take()
         return self.node("Statement", first)
 
+    def _too_deep(self, first: int) -> Node:
+        """A statement nested too deep to be read, up to its semicolon, as one."""
+        self.at = first + 1
+        while self.at < self.end and self.toks[self.at - 1].text != ";":
+            self.at += 1
+        return self.node("Statement", first)
+
     def _statement(self, t: str) -> Node:
         first = self.at
         if t == "{":

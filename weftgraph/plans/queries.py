@@ -408,6 +408,16 @@ def tainted_by(spark, d):
     return taint.tainted_by(_g(spark, d), lookup.by_type(_n(spark, d), "ReturnStatement"))
 
 
+@query(WITH + """, x AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE etype = 'FLOWS_TO'), r AS (SELECT id AS start, id AS "at", [id] AS path FROM n WHERE type = 'Condition'
+    UNION ALL SELECT r.start, x.dst, list_append(r.path, x.dst) FROM r JOIN x ON x.src = r."at" WHERE len(r.path) < 20 AND len(list_filter(r.path, lambda p: p = x.dst)) < 2)
+    SELECT start, r."at" AS "end", min({'n': len(path), 'path': path}).path AS path FROM r JOIN n ON n.id = r."at" AND n.type = 'ReturnStatement' GROUP BY 1, 2""")
+def flow_paths(spark, d):
+    n = _n(spark, d)
+    starts = lookup.conditions(n).select(F.col("id").alias("start"))
+    ends = lookup.by_type(n, "ReturnStatement").select(F.col("id").alias("end"))
+    return reach.paths_to_any(_g(spark, d).edge("FLOWS_TO"), starts, ends)
+
+
 @query()
 def unsanitized_paths(spark, d):
     n = _n(spark, d)

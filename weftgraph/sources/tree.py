@@ -14,7 +14,8 @@ def test_case_of(path: Column) -> Column:
 
 
 def read_sources(spark: SparkSession, root: str, patterns: list[str] | None = None, ordered: bool = False) -> DataFrame:
-    """``(path, text, test_id)`` of the source files below ``root``; files that can't be read are passed over. ``ordered`` sorts by path."""
+    """``(path, text, test_id)`` of the source files below ``root``; files that are empty or can't be read are passed over.
+    ``ordered`` sorts by path."""
     globs = "{" + ",".join(patterns or SOURCE_FILES) + "}"
     spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(root)
