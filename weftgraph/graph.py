@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.io import table
@@ -12,6 +12,8 @@ from weftgraph.io import table
 
 def latest(nodes: DataFrame, *columns: str) -> DataFrame:
     """``id`` and the named columns of each id's latest delivery; equal times are settled by the columns themselves. Rows without id are left out."""
+    if not columns:
+        return nodes.where("id is not null").select("id").distinct()
     if "loaded_at" not in nodes.columns:
         return nodes.where("id is not null").select("id", *columns).dropDuplicates(["id"])
     row = F.max(F.struct("loaded_at", *columns))
@@ -29,9 +31,13 @@ class CodeGraph:
     def read(cls, spark: SparkSession, folder: str) -> CodeGraph:
         return cls(table(spark, folder, "nodes"), table(spark, folder, "edges"))
 
-    def node(self, *columns: str) -> DataFrame:
-        """``id`` and the named columns, one row for each id."""
-        return latest(self.nodes, *columns)
+    def node(self, *columns: str, where: Column | str | None = None) -> DataFrame:
+        """``id`` and the named columns, one row for each id; with ``where`` only nodes that meet it.
+
+        Deliveries of an id differ in their time alone, so that the condition is put to the rows as they are stored: it reaches the scan, and only
+        what meets it is shuffled.
+        """
+        return latest(self.nodes if where is None else self.nodes.where(where), *columns)
 
     def edge(self, *kinds: str, columns: tuple[str, ...] = ("src", "dst")) -> DataFrame:
         """The named columns of the edges of these types, each combination once; without types, of all edges."""

@@ -1,4 +1,7 @@
-"""Lookups: filtered scans that take the place of an index. Each gives rows of ``nodes``; filters reach the Parquet scan."""
+"""Lookups: filtered scans that take the place of an index. Each gives rows of ``nodes``; filters reach the Parquet scan.
+
+``nodes`` may hold several deliveries of an id; the rows found then do too. Take ``distinct`` of the columns you need, after the filter.
+"""
 
 from __future__ import annotations
 
@@ -134,4 +137,4 @@ def ranked(nodes: DataFrame, terms: list[str]) -> DataFrame:
     """``(id, score)``: how many of the terms a code holds as blank-separated tokens, best first, ties by id; codes with none are left out."""
     tokens = F.split("code", " ")
     score = sum((F.array_contains(tokens, t).cast("int") for t in dict.fromkeys(terms)), F.lit(0))
-    return nodes.where("code is not null").select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id")
+    return nodes.where("code is not null").select("id", score.alias("score")).distinct().where("score > 0").orderBy(F.desc("score"), "id")

@@ -44,7 +44,7 @@ def is_arithmetic(code: Column) -> Column:
 def call_points(g: CodeGraph, sensitive: list[str] | None = None) -> DataFrame:
     """``(id, function_id, test_id, name)``: statements that call a sensitive function, a row for each such name."""
     names = g.nodes.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(sensitive or SENSITIVE)], "name string")
-    code = g.node("type", "code", "function_id", "test_id").where(F.col("type").isin(STATEMENTS) & F.col("code").isNotNull())
+    code = g.node("type", "code", "function_id", "test_id", where=F.col("type").isin(STATEMENTS) & F.col("code").isNotNull())
     called = code.select("id", "function_id", "test_id", F.explode(F.array_distinct(called_names(F.col("code")))).alias("name"))
     return called.join(F.broadcast(names), "name", "left_semi").select("id", "function_id", "test_id", "name")
 
@@ -52,12 +52,12 @@ def call_points(g: CodeGraph, sensitive: list[str] | None = None) -> DataFrame:
 def declaration_points(g: CodeGraph, kind: str) -> DataFrame:
     """``(id, function_id, test_id, code)``: declarations and parameters of a ``pointer`` or an ``array``."""
     test = {"pointer": is_pointer, "array": is_array}[kind](F.col("code"))
-    return g.node("type", "code", "function_id", "test_id").where(F.col("type").isin("IdentifierDeclStatement", "Parameter") & test).drop("type")
+    return g.node("type", "code", "function_id", "test_id", where=F.col("type").isin("IdentifierDeclStatement", "Parameter") & test).drop("type")
 
 
 def arithmetic_points(g: CodeGraph) -> DataFrame:
     """``(id, function_id, test_id, code)``: expression statements that compute."""
-    return g.node("type", "code", "function_id", "test_id").where((F.col("type") == "ExpressionStatement") & is_arithmetic(F.col("code"))).drop("type")
+    return g.node("type", "code", "function_id", "test_id", where=(F.col("type") == "ExpressionStatement") & is_arithmetic(F.col("code"))).drop("type")
 
 
 def last_uses(g: CodeGraph, kind: str) -> DataFrame:

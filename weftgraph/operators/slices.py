@@ -16,7 +16,7 @@ def dependence_edges(g: CodeGraph) -> DataFrame:
     """``(src, dst, var)`` of the dependence graph: data edges with their symbol, control edges with null, each once. Entry nodes stand for their
     function, exit and error nodes are left out."""
     edges = g.edge("REACHES", "CONTROLS", columns=("src", "dst", "var"))
-    special = g.node("type", "function_id").where(F.col("type").isin("CFGEntryNode", "CFGExitNode", "CFGErrorNode"))
+    special = g.node("type", "function_id", where=F.col("type").isin("CFGEntryNode", "CFGExitNode", "CFGErrorNode"))
     entry = special.where("type = 'CFGEntryNode'")
     gone = special.where("type <> 'CFGEntryNode'").select("id")
     edges = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
@@ -26,7 +26,7 @@ def dependence_edges(g: CodeGraph) -> DataFrame:
 
 def flow_edges(g: CodeGraph) -> DataFrame:
     """``(src, dst, flow_label)`` of the control flow graph without error nodes."""
-    gone = g.node("type").where("type = 'CFGErrorNode'").select("id")
+    gone = g.node("type", where="type = 'CFGErrorNode'").select("id")
     edges = g.edge("FLOWS_TO", columns=("src", "dst", "flow_label"))
     return edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst", "flow_label")
 
@@ -107,7 +107,7 @@ def complete_data_edges(symbols: DataFrame, scopes: DataFrame | None = None) ->
 
 def object_edges(g: CodeGraph) -> DataFrame:
     """``(src, dst, var)`` from where an object is made with ``new`` to the places of its function that use or delete it, further down."""
-    code = g.node("code", "function_id", "line").where("code is not null and function_id is not null")
+    code = g.node("code", "function_id", "line", where="code is not null and function_id is not null")
     made = code.select("id", "function_id", "line", F.regexp_extract("code", r"([A-Za-z_]\w*) = new ", 1).alias("var")).where("var <> ''")
     used = F.array_distinct(F.concat(F.regexp_extract_all("code", F.lit(r"(?:^| )([A-Za-z_]\w*) -> "), F.lit(1)), F.regexp_extract_all("code", F.lit(r"(?:^| )delete ([A-Za-z_]\w*)"), F.lit(1))))
     users = code.select(F.col("id").alias("dst"), "function_id", F.col("line").alias("at"), F.explode(used).alias("var"))
@@ -138,24 +138,22 @@ def program_slice(g: CodeGraph, points: DataFrame, call_hops: int = 0) -> DataFr
     found = backward_slice(g, points).unionByName(forward_slice(g, points)).distinct()
     for _ in range(call_hops):
         calls = text_calls(g)
-        placed = found.join(g.node("type", "function_id"), "id")
         down = found.join(calls, "id").select("slice_id", F.col("callee").alias("function_id"))
-        param = placed.where("type = 'Parameter'").select("slice_id", F.col("function_id").alias("callee")).distinct()
+        param = found.join(g.node("type", "function_id", where="type = 'Parameter'"), "id").select("slice_id", F.col("function_id").alias("callee")).distinct()
         up = param.join(calls, "callee").select("slice_id", "id")
-        inside = down.distinct().join(g.node("function_id", "is_cfg").where("is_cfg").select("id", "function_id"), "function_id").select("slice_id", "id")
-        more = inside.unionByName(backward_slice(g, up)) if call_hops else inside
-        found = found.unionByName(more).distinct()
+        inside = down.distinct().join(g.node("function_id", "is_cfg", where="is_cfg").select("id", "function_id"), "function_id").select("slice_id", "id")
+        found = found.unionByName(inside).unionByName(backward_slice(g, up)).distinct()
     return found
 
 
 def text_calls(g: CodeGraph) -> DataFrame:
     """``(callee, id, caller)``: statements that name a function of their own test case before a bracket; of several functions of a name the least id
     counts. ``new C`` calls ``C :: C``."""
-    nodes = g.node("type", "name", "code", "function_id", "test_id", "is_cfg")
-    named = nodes.where("type = 'Function' and name is not null").groupBy("test_id", "name").agg(F.min("id").alias("callee"))
+    named = g.node("type", "name", "test_id", where="type = 'Function' and name is not null").groupBy("test_id", "name").agg(F.min("id").alias("callee"))
     made = F.transform(F.regexp_extract_all("code", F.lit(r"new ([A-Za-z_]\w*)"), F.lit(1)), lambda c: F.concat(c, F.lit(" :: "), c))
     names = F.array_distinct(F.concat(called_names(F.col("code")), made))
-    code = nodes.where("is_cfg and code is not null").select("id", F.col("function_id").alias("caller"), "test_id", F.explode(names).alias("name"))
+    statements = g.node("code", "function_id", "test_id", where="is_cfg and code is not null")
+    code = statements.select("id", F.col("function_id").alias("caller"), "test_id", F.explode(names).alias("name"))
     return code.join(named, ["test_id", "name"]).where("callee <> caller").select("callee", "id", "caller")
 
 
@@ -171,7 +169,7 @@ def sorted_by_place(rows: DataFrame) -> DataFrame:
 
 def slice_lines(g: CodeGraph, members: DataFrame) -> DataFrame:
     """``(slice_id, path, line, code)``: the lines of each slice; nodes without a place are left out."""
-    where = g.node("code", "line", "col", "filepath").where("line >= 0 and code is not null")
+    where = g.node("code", "line", "col", "filepath", where="line >= 0 and code is not null")
     cell = F.sort_array(F.collect_set(F.struct(F.coalesce("col", F.lit(-1)).alias("c"), "id", "code")))
     rows = members.join(where, "id").groupBy("slice_id", F.col("filepath").alias("path"), "line")
     return rows.agg(F.array_join(F.transform(cell, lambda x: x["code"]), " ").alias("code"))

@@ -35,17 +35,17 @@ def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def calls_in_code(g: CodeGraph) -> DataFrame:
     """``(id, callee, n_args, args)``: the calls inside each node's code, outer ones first; code nested too deep to be read has none."""
-    code = g.node("code", "is_cfg").where("is_cfg and code is not null and instr(code, '(') > 0").select("id", "code")
+    code = g.node("code", "is_cfg", where="is_cfg and code is not null and instr(code, '(') > 0").select("id", "code")
     return code.mapInArrow(_calls, "id long, callee string, n_args int, args array<string>")
 
 
 def function_sources(g: CodeGraph) -> DataFrame:
     """``(path, text, test_id)``: each function as one small file, its statements in order of place."""
-    code = g.node("type", "code", "function_id", "start_idx").where("function_id is not null and code is not null")
+    code = g.node("type", "code", "function_id", "start_idx", where="function_id is not null and code is not null")
     lines = lambda kinds, mark: F.array_join(F.transform(F.filter("cell", lambda x: x["kind"].isin(kinds)), lambda x: x["code"]), mark)
     cell = F.sort_array(F.collect_list(F.struct(F.coalesce("start_idx", F.lit(-1)).alias("at"), "id", "code", F.col("type").alias("kind"))))
     bodies = code.where(~F.col("type").isin("CFGEntryNode", "CFGExitNode", "CFGErrorNode")).groupBy("function_id").agg(cell.alias("cell"))
-    names = g.node("type", "name", "test_id").where("type = 'Function'").select(F.col("id").alias("function_id"), "name", "test_id")
+    names = g.node("type", "name", "test_id", where="type = 'Function'").select(F.col("id").alias("function_id"), "name", "test_id")
     inside = F.filter("cell", lambda x: x["kind"] != "Parameter")
     one = lambda x: F.when(x["kind"] == "Condition", F.concat(F.lit("if ( "), x["code"], F.lit(" ) { }"))).when(x["code"].rlike(r"[;}]\s*$"), x["code"]).otherwise(F.concat(x["code"], F.lit(" ;")))
     text = F.concat(F.lit("void "), F.coalesce("name", F.lit("f")), F.lit(" ( "), lines(["Parameter"], " , "), F.lit(" ) {\n"), F.array_join(F.transform(inside, one), "\n"), F.lit("\n}\n"))
@@ -55,4 +55,6 @@ def function_sources(g: CodeGraph) -> DataFrame:
 
 def rebuilt(g: CodeGraph, tainted: dict[str, list[int]] | None = None) -> CodeGraph:
     """The graph built anew, with syntax trees, from the functions' own statements."""
-    return CodeGraph(*build_graph(function_sources(g), tainted))
+    spark = g.nodes.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # parsing is work for the CPUs: small inputs must not end up in few tasks
+    return CodeGraph(*build_graph(function_sources(g).repartition(parts), tainted))

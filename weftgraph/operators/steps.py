@@ -45,7 +45,7 @@ def parents(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 def ith_children(g: CodeGraph, pipe: DataFrame, i: int) -> DataFrame:
     """Children at place ``i``; a child without a place stands at 0."""
-    placed = g.node("child_num").where(F.coalesce("child_num", F.lit(0)) == i).select("id")
+    placed = g.node("child_num", where=F.coalesce("child_num", F.lit(0)) == i).select("id")
     return children(g, pipe).join(placed, "id", "left_semi")
 
 
@@ -78,7 +78,7 @@ def set_by(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 def definitions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """Declarations and parameters that define what the pipe's nodes use."""
-    kinds = g.node("type").where(F.col("type").isin("IdentifierDecl", "Parameter", "IdentifierDeclStatement")).select("id")
+    kinds = g.node("type", where=F.col("type").isin("IdentifierDecl", "Parameter", "IdentifierDeclStatement")).select("id")
     return set_by(g, uses(g, pipe)).join(kinds, "id", "left_semi")
 
 
@@ -117,19 +117,19 @@ def syntax_closure(g: CodeGraph) -> DataFrame:
 def match(g: CodeGraph, pipe: DataFrame, predicate: Column, *columns: str) -> DataFrame:
     """Nodes of the pipe's trees, themselves among them, that meet the predicate on the named node columns."""
     below = pipe.select(F.col("id").alias("top")).join(syntax_closure(g), "top").select("id")
-    return below.join(g.node(*columns).where(predicate).select("id"), "id", "left_semi")
+    return below.join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
 
 
 def match_parents(g: CodeGraph, pipe: DataFrame, predicate: Column, *columns: str) -> DataFrame:
     """Nodes above the pipe's that meet the predicate, themselves among them."""
     above = pipe.select("id").join(syntax_closure(g), "id").select(F.col("top").alias("id"))
-    return above.join(g.node(*columns).where(predicate).select("id"), "id", "left_semi")
+    return above.join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
 
 
 def statement_of(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """``(id, statement)``: the nearest node of the control flow graph at or above each node."""
     up = pipe.select("id").join(syntax_closure(g), "id")
-    span = g.node("is_cfg", "start_idx", "stop_idx").where("is_cfg").select(F.col("id").alias("top"), (F.col("stop_idx") - F.col("start_idx")).alias("size"))
+    span = g.node("is_cfg", "start_idx", "stop_idx", where="is_cfg").select(F.col("id").alias("top"), (F.col("stop_idx") - F.col("start_idx")).alias("size"))
     return up.join(span, "top").groupBy("id").agg(F.min(F.struct("size", "top")).getField("top").alias("statement"))
 
 
@@ -159,13 +159,13 @@ def call_to_assignments(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 def parameter_parts(g: CodeGraph, pipe: DataFrame, kind: str) -> DataFrame:
     """``Identifier`` or ``ParameterType`` of parameters."""
-    return children(g, pipe).join(g.node("type").where(F.col("type") == kind).select("id"), "id", "left_semi")
+    return children(g, pipe).join(g.node("type", where=F.col("type") == kind).select("id"), "id", "left_semi")
 
 
 def to_exit(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """The exit node of each node's function."""
     owner = pipe.select("id").join(g.node("function_id"), "id").select("function_id")
-    return owner.join(g.node("type", "function_id").where("type = 'CFGExitNode'"), "function_id").select("id")
+    return owner.join(g.node("type", "function_id", where="type = 'CFGExitNode'"), "function_id").select("id")
 
 
 def functions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
@@ -175,28 +175,28 @@ def functions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 def function_nodes(g: CodeGraph, pipe: DataFrame, kind: str | None = None, statements_only: bool = False) -> DataFrame:
     """Nodes of the pipe's functions, of a type or of the control flow graph only if asked."""
-    nodes = g.node("function_id", "type", "is_cfg")
-    nodes = nodes if kind is None else nodes.where(F.col("type") == kind)
-    nodes = nodes.where("is_cfg") if statements_only else nodes
+    wanted = F.col("function_id").isNotNull()
+    wanted = wanted if kind is None else wanted & (F.col("type") == kind)
+    nodes = g.node("function_id", where=wanted & F.col("is_cfg") if statements_only else wanted)
     return pipe.select(F.col("id").alias("function_id")).join(nodes, "function_id").select("id")
 
 
 def function_to_callers(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """Callee nodes that name the pipe's functions."""
     names = pipe.select("id").join(g.node("name"), "id").select(F.col("name").alias("code"))
-    return names.join(g.node("type", "code").where("type = 'Callee'"), "code").select("id")
+    return names.join(g.node("type", "code", where="type = 'Callee'"), "code").select("id")
 
 
 def locations(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """``(id, code, function, filepath)``."""
     nodes = g.node("code", "function_id", "filepath")
-    names = g.node("type", "name").where("type = 'Function'").select(F.col("id").alias("function_id"), F.col("name").alias("function"))
+    names = g.node("type", "name", where="type = 'Function'").select(F.col("id").alias("function_id"), F.col("name").alias("function"))
     return pipe.select("id").join(nodes, "id").join(names, "function_id", "left").select("id", "code", "function", "filepath")
 
 
 def visible(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """Nodes that are hidden neither themselves nor by their function."""
-    hidden = g.node("hidden").where("hidden").select("id")
+    hidden = g.node("hidden", where="hidden").select("id")
     placed = pipe.select("id").join(g.node("function_id"), "id", "left").join(hidden, "id", "left_anti")
     return placed.join(hidden.withColumnRenamed("id", "function_id"), "function_id", "left_anti").select("id")
 

@@ -23,7 +23,7 @@ def unsanitized_paths(g: CodeGraph, starts: DataFrame, targets: DataFrame, sanit
     roots = pairs.select(F.xxhash64("src", "var").alias("root"), "src", "var").distinct()
     stops = roots.join(defining, "var").where("id <> src").select(F.col("root").alias("start"), "id")
     if sanitizer is not None:
-        clean = g.node("code", "function_id").where(sanitizer).select("id", "function_id")
+        clean = g.node("code", "function_id", where=sanitizer).select("id", "function_id")
         of_root = roots.join(g.node("function_id").withColumnRenamed("id", "src"), "src").select("root", "src", "function_id")
         stops = stops.unionByName(of_root.join(clean, "function_id").where("id <> src").select(F.col("root").alias("start"), "id"))
     entry = roots.select(F.col("root").alias("src"), F.col("src").alias("dst"))
@@ -36,7 +36,7 @@ def unsanitized_paths(g: CodeGraph, starts: DataFrame, targets: DataFrame, sanit
 
 def controlling_conditions(g: CodeGraph, pipe: DataFrame, order: int = 1) -> DataFrame:
     """``(root, id)``: conditions that control the pipe's nodes within ``order`` steps."""
-    return hops(g.edge("CONTROLS"), pipe, order, F.col("type") == "Condition", g.node("type"))
+    return hops(g.edge("CONTROLS"), pipe, order, F.lit(True), g.node("type", where="type = 'Condition'"))
 
 
 def sub_conditions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
@@ -48,7 +48,8 @@ def sub_conditions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 def argument_links(g: CodeGraph) -> DataFrame:
     """``(argument, parameter)``: arguments and the parameters they become, by name of the callee and place, where their numbers agree."""
-    nodes = g.node("type", "code", "name", "child_num", "function_id")
+    kinds = ["Callee", "ArgumentList", "Argument", "Function", "Parameter"]
+    nodes = g.node("type", "code", "name", "child_num", "function_id", where=F.col("type").isin(kinds))
     tree = g.edge("IS_AST_PARENT")
     child = lambda top, kind, key: tree.select(F.col("src").alias(top), F.col("dst").alias("id")).join(nodes.where(F.col("type") == kind), "id").withColumnRenamed("id", key)
     callee = child("call", "Callee", "callee").select("call", F.element_at(F.split("code", " "), -1).alias("name"))
@@ -103,7 +104,7 @@ def tainted_arguments(g: CodeGraph, callee: str, source: str, loops: int = 4) ->
     at = steps.statement_of(g, calls)
     fed = at.join(g.edge("REACHES").select(F.col("dst").alias("statement")), "statement", "left_semi")
     reached = tainted_by(g, fed.select(F.col("statement").alias("id")).distinct(), loops)
-    hit = g.node("code").where(F.col("code").rlike(lookup.whole(source))).select("id")
+    hit = g.node("code", where=F.col("code").rlike(lookup.whole(source))).select("id")
     roots = reached.join(hit, "id", "left_semi").select(F.col("root").alias("statement")).distinct()
     return at.join(roots, "statement", "left_semi").select("id")
 
@@ -113,7 +114,7 @@ def unchecked(g: CodeGraph, pipe: DataFrame, symbol: str, check: str) -> DataFra
     import re
 
     pattern = lookup.whole(check.replace("%s", re.escape(symbol)))
-    checked = controlling_conditions(g, pipe, 8).join(g.node("code").where(F.col("code").rlike(pattern)).select("id"), "id", "left_semi")
+    checked = controlling_conditions(g, pipe, 8).join(g.node("code", where=F.col("code").rlike(pattern)).select("id"), "id", "left_semi")
     return pipe.join(checked.select(F.col("root").alias("id")), "id", "left_anti")
 
 
@@ -148,8 +149,8 @@ def invocations(g: CodeGraph, pipe: DataFrame, depth: int = 4) -> DataFrame:
 
 def call_edges(g: CodeGraph) -> DataFrame:
     """``(callee, call, caller)`` by name, from Callee nodes where the graph has syntax trees, else from the text of statements."""
-    functions = g.node("type", "name", "test_id").where("type = 'Function' and name is not null").select(F.col("id").alias("callee"), "name", F.col("test_id").alias("t"))
-    callees = g.node("type", "code", "function_id", "test_id").where("type = 'Callee'")
+    functions = g.node("type", "name", "test_id", where="type = 'Function' and name is not null").select(F.col("id").alias("callee"), "name", F.col("test_id").alias("t"))
+    callees = g.node("type", "code", "function_id", "test_id", where="type = 'Callee'")
     named = callees.select(F.element_at(F.split("code", " "), -1).alias("name"), F.col("id").alias("call"), F.col("function_id").alias("caller"), "test_id")
     same = [named["name"] == functions["name"], named["test_id"].eqNullSafe(functions["t"])]
     return named.join(functions, same).select("callee", "call", "caller")

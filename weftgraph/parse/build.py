@@ -147,13 +147,15 @@ def _run(tainted: dict[str, list[int]]):
         import sys
 
         sys.setrecursionlimit(20_000)
+        schema = _arrow()
         for b in batches:
             cols = b.to_pydict()
             for path, text, test_id in zip(cols["path"], cols["text"], cols["test_id"]):
                 g = graph_rows(path, text or "", test_id, marks)
-                out = [{"kind": "node", **n} for n in g.nodes] + [{"kind": "edge", **{f"e_{k}": v for k, v in e.items()}} for e in g.edges]
-                names = ["kind", *_NODE, *(f"e_{x}" for x in _EDGE)]
-                yield pa.RecordBatch.from_pylist([{k: r.get(k) for k in names} for r in out], schema=_arrow())
+                n, e = len(g.nodes), len(g.edges)
+                columns = [["node"] * n + ["edge"] * e]
+                columns += [[r[k] for r in g.nodes] + [None] * e for k in _NODE] + [[None] * n + [r[k] for r in g.edges] for k in _EDGE]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return build
 

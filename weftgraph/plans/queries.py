@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import scores, text
 from weftgraph.functions.embed import embedded, nearest, train_vectors, vector_table
 from weftgraph.functions.recurrent import Classifier, predict
-from weftgraph.graph import CodeGraph, latest
+from weftgraph.graph import CodeGraph
 from weftgraph.io import table
 from weftgraph.operators import lookup, points, reach, slices, snippets, steps, taint, windows
 from weftgraph.sources.textual import case_of_folders, graph_text
@@ -50,7 +50,17 @@ def _g(spark: SparkSession, d: str) -> CodeGraph:
 
 
 def _n(spark: SparkSession, d: str) -> DataFrame:
-    return latest(table(spark, d, "nodes"), *COLUMNS)
+    """Nodes as delivered: take distinct rows after the filter."""
+    return table(spark, d, "nodes")
+
+
+def _pipe(found: DataFrame) -> DataFrame:
+    return found.select("id").distinct()
+
+
+def _of(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """The ids of the nodes of a type."""
+    return _pipe(lookup.by_type(_n(spark, d), kind))
 
 
 # ---- lookups
@@ -58,27 +68,27 @@ def _n(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT id, code FROM nodes WHERE type = 'Condition' AND code LIKE '%len%'")
 def lookup_query(spark, d):
-    return lookup.query(_n(spark, d), "type:Condition AND code:*len*").select("id", "code")
+    return lookup.query(_n(spark, d), "type:Condition AND code:*len*").select("id", "code").distinct()
 
 
 @query("SELECT DISTINCT id, code FROM nodes WHERE type = 'ReturnStatement' AND code = 'return 0 ;'")
 def lookup_quoted(spark, d):
-    return lookup.query(_n(spark, d), 'type:ReturnStatement AND code:"return 0 ;"').select("id", "code")
+    return lookup.query(_n(spark, d), 'type:ReturnStatement AND code:"return 0 ;"').select("id", "code").distinct()
 
 
 @query("SELECT DISTINCT id, name FROM nodes WHERE type = 'Function' AND name LIKE 'read%'")
 def functions_by_name(spark, d):
-    return lookup.functions_by_name(_n(spark, d), "read*").select("id", "name")
+    return lookup.functions_by_name(_n(spark, d), "read*").select("id", "name").distinct()
 
 
 @query("SELECT DISTINCT id FROM nodes WHERE type = 'Function' AND id IN (SELECT function_id FROM nodes WHERE type = 'Parameter' AND code LIKE '%char%')")
 def functions_by_parameter(spark, d):
-    return lookup.functions_by_parameter(_n(spark, d), "*char*").select("id")
+    return lookup.functions_by_parameter(_n(spark, d), "*char*").select("id").distinct()
 
 
 @query("SELECT DISTINCT id, name, filepath FROM nodes WHERE type = 'Function' AND name IS NOT NULL AND filepath LIKE '/corpus/sard/%'")
 def functions_by_file(spark, d):
-    return lookup.functions_by_file(_n(spark, d), "/corpus/sard/*").select("id", "name", "filepath")
+    return lookup.functions_by_file(_n(spark, d), "/corpus/sard/*").select("id", "name", "filepath").distinct()
 
 
 @query("SELECT DISTINCT filepath FROM nodes WHERE filepath LIKE '%/main_%.c'")
@@ -88,34 +98,34 @@ def files_by_name(spark, d):
 
 @query("SELECT DISTINCT id FROM nodes WHERE is_cfg")
 def all_statements(spark, d):
-    return lookup.statements(_n(spark, d)).select("id")
+    return lookup.statements(_n(spark, d)).select("id").distinct()
 
 
 @query("SELECT DISTINCT id FROM nodes WHERE code LIKE 'memcpy %'")
 def calls_with_prefix(spark, d):
-    return lookup.calls_with_prefix(_n(spark, d), "memcpy").select("id")
+    return lookup.calls_with_prefix(_n(spark, d), "memcpy").select("id").distinct()
 
 
 @query("SELECT DISTINCT id, code FROM nodes WHERE type = 'Condition' AND regexp_full_match(code, '.*(len|size).*') AND function_id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'g%')")
 def conditions_of(spark, d):
-    return lookup.conditions_of(_n(spark, d), "g*", ".*(len|size).*").select("id", "code")
+    return lookup.conditions_of(_n(spark, d), "g*", ".*(len|size).*").select("id", "code").distinct()
 
 
 @query("SELECT DISTINCT id FROM nodes WHERE type = 'Condition' AND function_id IN (SELECT function_id FROM nodes WHERE code LIKE 'memcpy (%' )")
 def chain_and(spark, d):
     n = _n(spark, d)
-    return lookup.in_functions_of(lookup.conditions(n), n.where(F.col("code").startswith("memcpy ("))).select("id")
+    return lookup.in_functions_of(lookup.conditions(n), n.where(F.col("code").startswith("memcpy ("))).select("id").distinct()
 
 
 @query("SELECT DISTINCT id FROM nodes WHERE type IN ('Function', 'Condition') AND (function_id IS NULL OR function_id NOT IN (SELECT function_id FROM nodes WHERE code LIKE 'memcpy (%' AND function_id IS NOT NULL))")
 def chain_not(spark, d):
     n = _n(spark, d)
-    return lookup.not_in_functions_of(n.where("type in ('Function', 'Condition')"), n.where(F.col("code").startswith("memcpy ("))).select("id")
+    return lookup.not_in_functions_of(n.where("type in ('Function', 'Condition')"), n.where(F.col("code").startswith("memcpy ("))).select("id").distinct()
 
 
 @query("SELECT DISTINCT id FROM nodes WHERE type = 'GotoStatement' AND code = 'goto out ;'")
 def find_by_property(spark, d):
-    return lookup.find(_n(spark, d), "GotoStatement", code="goto out ;").select("id")
+    return lookup.find(_n(spark, d), "GotoStatement", code="goto out ;").select("id").distinct()
 
 
 @query(WITH + "SELECT id, s AS score FROM (SELECT id, list_contains(string_split(code, ' '), 'memcpy')::INT + list_contains(string_split(code, ' '), 'sizeof')::INT AS s FROM n WHERE code IS NOT NULL) WHERE s > 0")
@@ -126,7 +136,7 @@ def lookup_ranked(spark, d):
 @query("SELECT DISTINCT function_id, id FROM nodes WHERE is_cfg AND regexp_replace(lower(test_id), '[^a-z0-9]+', '', 'g') = 'testcasesupport'")
 def statements_of_case(spark, d):
     case = F.regexp_replace(F.lower("test_id"), "[^a-z0-9]+", "") == "testcasesupport"
-    return lookup.statements(_n(spark, d)).where(case).select("function_id", "id")
+    return lookup.statements(_n(spark, d)).where(case).select("function_id", "id").distinct()
 
 
 # ---- steps
@@ -136,39 +146,39 @@ def statements_of_case(spark, d):
 def successors(spark, d):
     g = _g(spark, d)
     flow = g.edge("FLOWS_TO").withColumnRenamed("src", "id")
-    return g.node("type").where("type = 'Condition'").join(flow, "id").select("id", F.col("dst").alias("next"))
+    return g.node("type", where="type = 'Condition'").join(flow, "id").select("id", F.col("dst").alias("next"))
 
 
 @query(WITH + "SELECT x.dst AS id, count(*) AS n FROM (SELECT DISTINCT src, dst, flow_label FROM e WHERE etype = 'FLOWS_TO' AND flow_label IN ('True', 'False')) x JOIN n ON n.id = x.src AND n.type = 'Condition' GROUP BY 1")
 def labelled_targets(spark, d):
     g = _g(spark, d)
-    return steps.out(g, lookup.conditions(_n(spark, d)), "FLOWS_TO", "flow_label", ["True", "False"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    return steps.out(g, _of(spark, d, "Condition"), "FLOWS_TO", "flow_label", ["True", "False"]).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + "SELECT DISTINCT x.src AS id FROM e x JOIN n ON n.id = x.dst AND n.type = 'Condition' WHERE x.etype = 'REACHES' AND x.var IN ('len', 'ptr', 'buf')")
 def producers(spark, d):
-    return steps.dedup(steps.producers(_g(spark, d), lookup.conditions(_n(spark, d)), ["len", "ptr", "buf"]))
+    return steps.dedup(steps.producers(_g(spark, d), _of(spark, d, "Condition"), ["len", "ptr", "buf"]))
 
 
 @query(WITH + "SELECT DISTINCT x.dst AS id FROM e x JOIN n ON n.id = x.src AND n.type = 'Parameter' WHERE x.etype = 'REACHES' AND x.var = 'len'")
 def users(spark, d):
-    return steps.dedup(steps.users(_g(spark, d), lookup.by_type(_n(spark, d), "Parameter"), "len"))
+    return steps.dedup(steps.users(_g(spark, d), _of(spark, d, "Parameter"), "len"))
 
 
 @query(WITH + "SELECT DISTINCT x.src AS id FROM e x JOIN n ON n.id = x.dst AND n.type = 'ReturnStatement' WHERE x.etype = 'REACHES'")
 def sources(spark, d):
-    return steps.dedup(steps.sources(_g(spark, d), lookup.by_type(_n(spark, d), "ReturnStatement")))
+    return steps.dedup(steps.sources(_g(spark, d), _of(spark, d, "ReturnStatement")))
 
 
 @query(WITH + "SELECT DISTINCT x.dst AS id FROM e x JOIN n ON n.id = x.src AND n.type = 'Parameter' WHERE x.etype = 'REACHES'")
 def sinks(spark, d):
-    return steps.dedup(steps.sinks(_g(spark, d), lookup.by_type(_n(spark, d), "Parameter")))
+    return steps.dedup(steps.sinks(_g(spark, d), _of(spark, d, "Parameter")))
 
 
 @query(WITH + "SELECT DISTINCT z.dst AS id FROM n JOIN (SELECT DISTINCT src, dst FROM e WHERE etype = 'REACHES') y ON y.src = n.id JOIN (SELECT DISTINCT src, dst FROM e WHERE etype = 'FLOWS_TO') z ON z.src = y.dst WHERE n.type = 'Parameter'")
 def two_hops(spark, d):
     g = _g(spark, d)
-    return steps.dedup(steps.out(g, steps.sinks(g, lookup.by_type(_n(spark, d), "Parameter")), "FLOWS_TO"))
+    return steps.dedup(steps.out(g, steps.sinks(g, _of(spark, d, "Parameter")), "FLOWS_TO"))
 
 
 @query(WITH + "SELECT n.id AS id, x.id AS leave FROM n JOIN n x ON x.function_id = n.function_id AND x.type = 'CFGExitNode' WHERE n.type = 'ReturnStatement'")
@@ -181,22 +191,22 @@ def exit_of(spark, d):
 
 @query(WITH + "SELECT DISTINCT function_id AS id FROM n WHERE type = 'GotoStatement' AND function_id IS NOT NULL")
 def functions_of_nodes(spark, d):
-    return steps.dedup(steps.functions(_g(spark, d), lookup.by_type(_n(spark, d), "GotoStatement")))
+    return steps.dedup(steps.functions(_g(spark, d), _of(spark, d, "GotoStatement")))
 
 
 @query(WITH + "SELECT x.id FROM n x WHERE x.is_cfg AND x.function_id IN (SELECT id FROM n WHERE type = 'Function' AND name LIKE 'read%')")
 def function_statements(spark, d):
-    return steps.function_nodes(_g(spark, d), lookup.functions_by_name(_n(spark, d), "read*"), statements_only=True)
+    return steps.function_nodes(_g(spark, d), _pipe(lookup.functions_by_name(_n(spark, d), "read*")), statements_only=True)
 
 
 @query(WITH + "SELECT n.id, n.code, f.name AS function, n.filepath FROM n LEFT JOIN n f ON f.id = n.function_id AND f.type = 'Function' WHERE n.type = 'Condition'")
 def locations(spark, d):
-    return steps.locations(_g(spark, d), lookup.conditions(_n(spark, d)))
+    return steps.locations(_g(spark, d), _of(spark, d, "Condition"))
 
 
 @query(WITH + "SELECT id FROM n WHERE type = 'Condition' AND hidden IS NOT TRUE AND (function_id IS NULL OR function_id NOT IN (SELECT id FROM n WHERE hidden))")
 def visible(spark, d):
-    return steps.visible(_g(spark, d), lookup.conditions(_n(spark, d)))
+    return steps.visible(_g(spark, d), _of(spark, d, "Condition"))
 
 
 @query(WITH + "SELECT id, count(*) AS n FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) GROUP BY id")
@@ -206,7 +216,7 @@ def degree(spark, d):
 
 @query(WITH + "SELECT DISTINCT src, dst, etype FROM (SELECT src, dst, etype FROM e UNION ALL SELECT dst, src, etype FROM e) WHERE etype = 'CONTROLS' AND src IN (SELECT id FROM n WHERE type = 'Condition') ORDER BY src, dst, etype LIMIT 500")
 def pattern_bidirectional_limit(spark, d):
-    return steps.pattern(_g(spark, d), "CONTROLS", starts=lookup.conditions(_n(spark, d)), bidirectional=True, limit=500)
+    return steps.pattern(_g(spark, d), "CONTROLS", starts=_of(spark, d, "Condition"), bidirectional=True, limit=500)
 
 
 @query(WITH + "SELECT src AS id, count(*) AS n FROM (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS' UNION ALL SELECT DISTINCT src, dst FROM e WHERE etype = 'REACHES') GROUP BY src")
@@ -225,7 +235,7 @@ def set_union(spark, d):
 def controlled_count(spark, d):
     g = _g(spark, d)
     n = g.edge("CONTROLS").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return lookup.conditions(_n(spark, d)).select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return _of(spark, d, "Condition").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("SELECT id, count(*) AS n FROM nodes WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1")
@@ -256,7 +266,7 @@ def text_calls(spark, d):
 @query(WITH + ", " + CALLS + """, r AS (SELECT id AS root, id, 0 AS hops FROM n WHERE type = 'Function' UNION SELECT r.root, tc.caller, r.hops + 1 FROM r JOIN tc ON tc.callee = r.id WHERE r.hops < 3)
     SELECT root, id, min(hops) AS hops FROM r GROUP BY root, id""")
 def callers_within_3(spark, d):
-    return slices.callers_within(_g(spark, d), lookup.by_type(_n(spark, d), "Function"))
+    return slices.callers_within(_g(spark, d), _of(spark, d, "Function"))
 
 
 # ---- dependence and slices
@@ -336,12 +346,12 @@ MERGED = "ml AS MATERIALIZED (SELECT function_id, line, string_agg(code, ' ' ORD
 
 @query(WITH + ", " + MERGED + "SELECT * FROM ml")
 def merged_lines(spark, d):
-    return slices.merge_lines(_n(spark, d))
+    return slices.merge_lines(_g(spark, d).node("line", "col", "code", "function_id", where="line >= 0"))
 
 
 @query(WITH + ", " + MERGED + "SELECT function_id, min(line) AS first_line, max(line) AS last_line, string_agg(code, chr(10) ORDER BY line) AS code FROM (SELECT *, line - row_number() OVER (PARTITION BY function_id ORDER BY line) AS i FROM ml) GROUP BY function_id, i")
 def merged_runs(spark, d):
-    return slices.merge_runs(slices.merge_lines(_n(spark, d)))
+    return slices.merge_runs(slices.merge_lines(_g(spark, d).node("line", "col", "code", "function_id", where="line >= 0")))
 
 
 SYMBOLS = """s AS (SELECT DISTINCT q.id, n.function_id, n.start_idx AS pos, q.symbol, q.is_def FROM (SELECT src AS id, var AS symbol, true AS is_def FROM e WHERE etype = 'REACHES'
@@ -386,26 +396,26 @@ def object_edges(spark, d):
     SELECT root, id, min(hops) AS hops FROM r GROUP BY root, id""")
 def bounded_hops_3(spark, d):
     g = _g(spark, d)
-    params = lookup.by_type(_n(spark, d), "Parameter").select(F.col("id").alias("root"), "id")
+    params = _of(spark, d, "Parameter").select(F.col("id").alias("root"), "id")
     return reach.reach(g.edge("FLOWS_TO"), params, 3)
 
 
 @query(WITH + """, r AS (SELECT id AS root, id FROM n WHERE type = 'CFGEntryNode' UNION SELECT r.root, x.dst FROM r JOIN e x ON x.src = r.id AND x.etype = 'FLOWS_TO') SELECT root, count(*) AS n FROM r GROUP BY root""")
 def reachable_from_entry(spark, d):
-    entry = lookup.by_type(_n(spark, d), "CFGEntryNode").select(F.col("id").alias("root"), "id")
+    entry = _of(spark, d, "CFGEntryNode").select(F.col("id").alias("root"), "id")
     return reach.reach(_g(spark, d).edge("FLOWS_TO"), entry).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + """, c AS (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS'), r AS (SELECT id AS root, id, 0 AS h FROM n WHERE type = 'ReturnStatement' UNION SELECT r.root, c.src, h + 1 FROM r JOIN c ON c.dst = r.id WHERE h < 2)
     SELECT DISTINCT r.root, r.id FROM r JOIN n ON n.id = r.id AND n.type = 'Condition' WHERE r.id <> r.root""")
 def controlling_conditions(spark, d):
-    return taint.controlling_conditions(_g(spark, d), lookup.by_type(_n(spark, d), "ReturnStatement"), 2)
+    return taint.controlling_conditions(_g(spark, d), _of(spark, d, "ReturnStatement"), 2)
 
 
 @query(WITH + """, t AS (SELECT DISTINCT dst AS src, src AS dst FROM e WHERE etype = 'REACHES'), r AS (SELECT id AS root, id, 0 AS hops FROM n WHERE type = 'ReturnStatement' UNION SELECT r.root, t.dst, hops + 1 FROM r JOIN t ON t.src = r.id WHERE hops < 4)
     SELECT root, id, min(hops) AS hops FROM r GROUP BY root, id""")
 def tainted_by(spark, d):
-    return taint.tainted_by(_g(spark, d), lookup.by_type(_n(spark, d), "ReturnStatement"))
+    return taint.tainted_by(_g(spark, d), _of(spark, d, "ReturnStatement"))
 
 
 @query(WITH + """, x AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE etype = 'FLOWS_TO'), r AS (SELECT id AS start, id AS "at", [id] AS path FROM n WHERE type = 'Condition'
@@ -413,8 +423,8 @@ def tainted_by(spark, d):
     SELECT start, r."at" AS "end", min({'n': len(path), 'path': path}).path AS path FROM r JOIN n ON n.id = r."at" AND n.type = 'ReturnStatement' GROUP BY 1, 2""")
 def flow_paths(spark, d):
     n = _n(spark, d)
-    starts = lookup.conditions(n).select(F.col("id").alias("start"))
-    ends = lookup.by_type(n, "ReturnStatement").select(F.col("id").alias("end"))
+    starts = lookup.conditions(n).select(F.col("id").alias("start")).distinct()
+    ends = lookup.by_type(n, "ReturnStatement").select(F.col("id").alias("end")).distinct()
     return reach.paths_to_any(_g(spark, d).edge("FLOWS_TO"), starts, ends)
 
 
@@ -422,14 +432,14 @@ def flow_paths(spark, d):
 def unsanitized_paths(spark, d):
     n = _n(spark, d)
     clean = F.col("code").rlike("(^| )(sizeof|MAX_PATH)( |$)")
-    return taint.unsanitized_paths(_g(spark, d), lookup.statements(n), lookup.statements(n), clean)
+    return taint.unsanitized_paths(_g(spark, d), _pipe(lookup.statements(n)), _pipe(lookup.statements(n)), clean)
 
 
 @query(WITH + """, c AS (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS'), r AS (SELECT id AS root, id, 0 AS h FROM n WHERE code LIKE 'memcpy (%' UNION SELECT r.root, c.src, h + 1 FROM r JOIN c ON c.dst = r.id WHERE h < 8)
     SELECT id FROM n WHERE code LIKE 'memcpy (%' AND id NOT IN (SELECT r.root FROM r JOIN n x ON x.id = r.id AND x.type = 'Condition' AND r.id <> r.root AND regexp_full_match(x.code, '.*(<|>).*'))""")
 def unchecked_calls(spark, d):
     n = _n(spark, d)
-    return taint.unchecked(_g(spark, d), n.where(F.col("code").startswith("memcpy (")).select("id"), "x", ".*(<|>).*")
+    return taint.unchecked(_g(spark, d), _pipe(n.where(F.col("code").startswith("memcpy ("))), "x", ".*(<|>).*")
 
 
 @query(WITH + """, x AS MATERIALIZED (SELECT DISTINCT src, dst FROM e WHERE etype = 'REACHES' AND src <> dst), p AS (SELECT id AS g FROM n WHERE type = 'ReturnStatement'), one AS (SELECT p.g, x.src, x.dst FROM p JOIN x ON x.dst = p.g),
@@ -437,7 +447,7 @@ def unchecked_calls(spark, d):
     SELECT g AS graphlet, src, dst, 'data' AS kind FROM (SELECT * FROM one UNION SELECT * FROM two)
     UNION ALL SELECT p.g, c.src, p.g, 'condition' FROM p JOIN (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS') c ON c.dst = p.g JOIN n ON n.id = c.src AND n.type = 'Condition' WHERE c.src <> p.g""")
 def local_definition_tree(spark, d):
-    return taint.local_definition_tree(_g(spark, d), lookup.by_type(_n(spark, d), "ReturnStatement"))
+    return taint.local_definition_tree(_g(spark, d), _of(spark, d, "ReturnStatement"))
 
 
 @query(WITH + """, l0 AS MATERIALIZED (SELECT id, (list_reduce(list_prepend(0::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(type, '')]), lambda a, c: (a * 31 + c) % 4294967296) & 65535)::INT AS v FROM n),
@@ -453,7 +463,7 @@ def neighborhood_hash(spark, d):
 def neighborhood_vectors(spark, d):
     g = _g(spark, d)
     state = taint.neighborhood_hash(g.edge("CONTROLS"), g.node("type").select("id", F.col("type").alias("label")))
-    return taint.label_histogram(state, g.node("function_id").where("function_id is not null").select("id", F.col("function_id").alias("owner")))
+    return taint.label_histogram(state, g.node("function_id", where="function_id is not null").select("id", F.col("function_id").alias("owner")))
 
 
 # ---- points of interest
@@ -517,13 +527,13 @@ def rebuilt_edges(spark, d):
 
 @query(WITH + f"SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(code, '{TOKEN}')) AS token FROM n WHERE is_cfg) GROUP BY token")
 def token_counts(spark, d):
-    code = _g(spark, d).node("is_cfg", "code").where("is_cfg")
+    code = _g(spark, d).node("is_cfg", "code", where="is_cfg")
     return code.select(F.explode(text.c_tokens(F.col("code"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def canonical_codes(spark, d):
-    code = _g(spark, d).node("type", "code").where("type in ('Condition', 'ExpressionStatement', 'ReturnStatement')")
+    code = _g(spark, d).node("type", "code", where="type in ('Condition', 'ExpressionStatement', 'ReturnStatement')")
     return code.select("id", F.array_join(text.canonical(text.c_tokens(F.col("code"))), " ").alias("code"))
 
 
@@ -597,13 +607,13 @@ def split_by_program(spark, d):
     r AS (SELECT function_id, id, row_number() OVER (PARTITION BY function_id ORDER BY id) AS no FROM n WHERE function_id IS NOT NULL AND type = 'ExpressionStatement')
     SELECT c.function_id, c.no, c.id AS x, r.id AS y FROM c JOIN r ON r.function_id = c.function_id AND r.no = c.no""")
 def zipped_pairs(spark, d):
-    n = _n(spark, d).where("function_id is not null")
-    return windows.pairs(n.where("type = 'Condition'"), n.where("type = 'ExpressionStatement'"), "function_id", "id")
+    of = lambda kind: _n(spark, d).where(F.col("type") == kind).where("function_id is not null").select("function_id", "id").distinct()
+    return windows.pairs(of("Condition"), of("ExpressionStatement"), "function_id", "id")
 
 
 @query(WITH + "SELECT id, lag(id) OVER w AS prior_id, lead(id) OVER w AS next_id FROM n WHERE is_cfg AND function_id IS NOT NULL WINDOW w AS (PARTITION BY function_id ORDER BY start_idx NULLS FIRST, id)")
 def siblings(spark, d):
-    n = _g(spark, d).node("is_cfg", "function_id", "start_idx").where("is_cfg and function_id is not null")
+    n = _g(spark, d).node("is_cfg", "function_id", "start_idx", where="is_cfg and function_id is not null")
     return windows.siblings(n, "function_id", "start_idx", "id").select("id", "prior_id", "next_id")
 
 
@@ -694,14 +704,14 @@ def one_hot_labels(spark, d):
 
 @query()
 def word_vectors(spark, d):
-    code = _g(spark, d).node("type", "code").where("type = 'Condition' and code is not null")
+    code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null")
     return vector_table(train_vectors(code.select(text.c_tokens(F.col("code")).alias("words")), rounds=1))
 
 
 @query()
 def sample_scores(spark, d):
     """Conditions as samples of 16 tokens of 4 values, scored by a recurrent classifier with seeded weights."""
-    code = _g(spark, d).node("type", "code").where("type = 'Condition' and code is not null")
+    code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null")
     ids = text.pad_ids(text.hashed_ids(text.c_tokens(F.col("code")), 1000), 16)
     x = F.transform(ids, lambda i: F.when(i == 0, F.array(*[F.lit(0.0)] * 4)).otherwise(F.array(F.sin(i), F.cos(i), F.sin(i * 2), F.cos(i * 2))))
     return predict(code.select(F.col("id").alias("sample_id"), x.alias("x")), Classifier.seeded(4, 8))
@@ -715,6 +725,6 @@ def window_counts(spark, d):
 @query()
 def embedded_conditions(spark, d):
     """Conditions as sequences of their tokens' vectors."""
-    code = _g(spark, d).node("type", "code").where("type = 'Condition' and code is not null").select(F.col("id").alias("doc_id"), text.c_tokens(F.col("code")).alias("words"))
+    code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null").select(F.col("id").alias("doc_id"), text.c_tokens(F.col("code")).alias("words"))
     vectors = vector_table(train_vectors(code, rounds=1))
     return embedded(code, vectors).select("doc_id", F.size("x").alias("n_tokens"))
