@@ -70,3 +70,29 @@ def _nearest(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
     best = vectors.where("vec is not null").select("vid", "vec").mapInArrow(run, "qid long, vid long, cos double").where("cos > -2")
     w = Window.partitionBy("qid").orderBy(F.desc("cos"), "vid")
     return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def api_vectors(rows: DataFrame, key: str, size: int = 256) -> DataFrame:
+    """``(key, vec)``: hashed counts of ``rows(key, words)`` weighted by how few rows hold a word."""
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    counted = HashingTF(inputCol="words", outputCol="tf", numFeatures=size).transform(rows.where("words is not null").select(key, "words"))
+    return IDF(inputCol="tf", outputCol="weighted").fit(counted).transform(counted).select(key, vector_to_array("weighted").alias("vec"))
+
+
+def mean_vectors(docs: DataFrame, vectors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, vec)``: the mean of the vectors of each document's words; documents without any have no row."""
+    each = docs.select(key, F.explode("words").alias("token")).join(vectors, "token").select(key, F.posexplode("vec").alias("d", "v"))
+    means = each.groupBy(key, "d").agg(F.avg("v").alias("v"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "v"))), lambda x: x["v"]).alias("vec"))
+
+
+def baseline_scores(train: DataFrame, samples: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``(key, p)`` of ``samples(key, vec)`` by logistic regression on ``train(vec, label)``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    fit = LogisticRegression(maxIter=50, regParam=0.001).fit(train.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label")))
+    scored = fit.transform(samples.select(key, array_to_vector("vec").alias("features")))
+    return scored.select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.functions import code as codes
 from weftgraph.functions import scores, text
-from weftgraph.functions.embed import embedded, nearest, train_vectors, vector_table
+from weftgraph.functions.embed import api_vectors, baseline_scores, embedded, mean_vectors, nearest, train_vectors, vector_table
 from weftgraph.functions.recurrent import Classifier, predict
 from weftgraph.graph import CodeGraph
 from weftgraph.io import table
-from weftgraph.operators import lookup, points, reach, slices, snippets, steps, taint, windows
+from weftgraph.operators import checks, lookup, points, reach, slices, snippets, steps, taint, windows
 from weftgraph.sources.textual import case_of_folders, graph_text
 from weftgraph.sources.tree import folders
 from weftgraph.streaming.dedup import windowed_counts
@@ -728,3 +729,52 @@ def embedded_conditions(spark, d):
     code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null").select(F.col("id").alias("doc_id"), text.c_tokens(F.col("code")).alias("words"))
     vectors = vector_table(train_vectors(code, rounds=1))
     return embedded(code, vectors).select("doc_id", F.size("x").alias("n_tokens"))
+
+
+# ---- functions on code
+
+
+@query(WITH + r"""SELECT id, [y FOR y IN [regexp_extract(x, '([A-Za-z_][A-Za-z0-9_]*)\s*;?\s*$', 1) FOR x IN string_split(regexp_replace(regexp_replace(code, ' = [^,;]*', '', 'g'), '\[[^\]]*\]', '', 'g'), ',')] IF y <> ''] AS names
+    FROM n WHERE type = 'IdentifierDeclStatement' AND code IS NOT NULL""")
+def declared_names(spark, d):
+    g = _g(spark, d).node("code", where="type = 'IdentifierDeclStatement' and code is not null")
+    return g.select("id", codes.declared_names(F.col("code")).alias("names"))
+
+
+@query(WITH + r"""SELECT id, list_concat([x || ' :: ' || x FOR x IN regexp_extract_all(code, '\bnew ([A-Za-z_]\w*)', 1)], ['delete ' || x FOR x IN regexp_extract_all(code, '\bdelete (?:\[ \] )?([A-Za-z_]\w*)', 1)]) AS calls
+    FROM n WHERE is_cfg AND code IS NOT NULL""")
+def object_calls(spark, d):
+    return _g(spark, d).node("code", where="is_cfg and code is not null").select("id", codes.object_calls(F.col("code")).alias("calls"))
+
+
+@query()
+def written_variables(spark, d):
+    code = _g(spark, d).node("code", where="is_cfg and code is not null and instr(code, '(') > 0")
+    return code.select("id", F.explode(codes.written_by_call(F.col("code"))).alias("name"))
+
+
+@query(WITH + r"""SELECT id, array_to_string([CASE WHEN regexp_matches(t, '^[0-9]') THEN 'NUM' WHEN regexp_matches(t, '^["\']') THEN 'TEXT' ELSE t END FOR t IN string_split(replace(' ' || code || ' ', ' len ', ' ARG '), ' ')], ' ') AS template
+    FROM n WHERE type = 'Condition' AND code IS NOT NULL""".replace("\\'", "''"))
+def condition_templates(spark, d):
+    code = _g(spark, d).node("code", where="type = 'Condition' and code is not null")
+    return code.select("id", checks.normalized_code(F.col("code"), F.lit("len")).alias("template"))
+
+
+@query()
+def similar_functions(spark, d):
+    """For each function with an id divisible by 50 the 5 with the most similar calls."""
+    code = _g(spark, d).node("code", "function_id", where="is_cfg and code is not null and function_id is not null")
+    words = code.select("function_id", F.explode(points.called_names(F.col("code"))).alias("word")).groupBy("function_id").agg(F.collect_list("word").alias("words"))
+    v = api_vectors(words, "function_id").select(F.col("function_id").alias("vid"), "vec")
+    return nearest(v, v.where("vid % 50 = 0").select(F.col("vid").alias("qid"), F.col("vec").alias("q")), 5)
+
+
+@query()
+def baseline_of_slices(spark, d):
+    """A logistic baseline: are the lines of a slice vulnerable, by the mean vectors of its tokens."""
+    g = _g(spark, d)
+    lines = slices.slice_lines(g, _members(spark, d)).cache()
+    words = lines.groupBy(F.col("slice_id").alias("doc_id")).agg(F.flatten(F.collect_list(text.c_tokens(F.col("code")))).alias("words"))
+    means = mean_vectors(words, vector_table(train_vectors(words, size=8, rounds=1)))
+    samples = means.join(slices.label_slices(lines, table(spark, d, "vul_lines")).withColumnRenamed("slice_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("sample_id"), "vec", "label")
+    return baseline_scores(samples, samples)
