@@ -237,3 +237,14 @@ def test_neighbourhood_labels(spark):
     labels = spark.createDataFrame([(1, "ab"), (2, "c"), (3, None)], "id long, label string")
     got = {r.id: r.label for r in taint.neighborhood_hash(spark.createDataFrame([(1, 2)], "src long, dst long"), labels, 1).collect()}
     assert got == {1: ((97 * 31 + 98) * 2) ^ 99, 2: 198, 3: 0}
+
+
+def test_filters_and_columns_reach_the_scan(spark, graph, tmp_path):
+    graph.nodes.write.parquet(str(tmp_path / "nodes.parquet"))
+    g = CodeGraph(spark.read.parquet(str(tmp_path / "nodes.parquet")), graph.edges)
+    plan = g.node("code", where="type = 'Condition'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(type,Condition)" in plan
+    scan = plan[plan.index("ReadSchema") :].split("\n")[0]
+    assert "code" in scan and "operator" not in scan and "filepath" not in scan
+    text = lookup.query(g.nodes, "type:Callee AND code:mem*").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(code,mem)" in text

@@ -37,7 +37,10 @@ def reach(edges: DataFrame, seeds: DataFrame, most_hops: int | None = None) -> D
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """``(src, dst)``: all pairs joined by one or more edges. Paths are doubled each round, so rounds grow with the logarithm of the depth."""
+    """``(src, dst)``: all pairs joined by one or more edges, for trees and other shallow graphs: from hubs of a cyclic graph use ``reach`` with seeds.
+
+    Paths are doubled each round, so that rounds grow with the logarithm of the depth.
+    """
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     count = pairs.count()
     for _ in range(MOST_ROUNDS):

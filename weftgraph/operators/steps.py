@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
+from weftgraph.operators.reach import closure
 
 
 def out(g: CodeGraph, pipe: DataFrame, kind: str, key: str | None = None, values=None) -> DataFrame:
@@ -101,15 +102,9 @@ def sinks(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 
 def syntax_closure(g: CodeGraph) -> DataFrame:
-    """``(top, id)``: each node of a tree with all nodes below it and itself.
-
-    Trees stand in the text in order, so that a node lies below another of its function iff its span lies within; only nodes that have an edge of a
-    tree take part, and the range is checked within a function.
-    """
+    """``(top, id)``: each node of a tree with all nodes below it and itself: as many rows as nodes times their depth."""
     tree = g.edge("IS_AST_PARENT")
     ids = tree.select(F.col("src").alias("id")).unionByName(tree.select(F.col("dst").alias("id"))).distinct()
-    from weftgraph.operators.reach import closure
-
     pairs = closure(tree.select("src", "dst"))
     return pairs.select(F.col("src").alias("top"), F.col("dst").alias("id")).unionByName(ids.select(F.col("id").alias("top"), "id"))
 

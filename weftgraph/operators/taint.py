@@ -87,7 +87,7 @@ def tainted_by(g: CodeGraph, pipe: DataFrame, loops: int = 4) -> DataFrame:
     A step goes from a use to a definition that reaches it, or from a parameter to the statements that hold an argument for it.
     """
     back = g.edge("REACHES").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    if "Argument" in [r[0] for r in g.nodes.where("type = 'Argument'").select("type").limit(1).collect()]:
+    if not g.nodes.where("type = 'Argument'").isEmpty():
         links = argument_links(g)
         holder = steps.statement_of(g, links.select(F.col("argument").alias("id"))).select(F.col("id").alias("argument"), "statement")
         up = links.join(holder, "argument").select(F.col("parameter").alias("src"), F.col("statement").alias("dst"))
