@@ -317,7 +317,7 @@ def slice_lines(spark, d):
     return slices.slice_lines(_g(spark, d), _members(spark, d)).groupBy("path", "line", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(MEMBERS + LINES + """SELECT path, start_line, n_lines, text, count(*) AS n FROM (SELECT k, path, min(line) AS start_line, count(*) AS n_lines, string_agg(code || ' ' || line, chr(10) ORDER BY line) AS text
+@query(MEMBERS + LINES + """SELECT path, start_line, n_lines, text, count(*) AS n FROM (SELECT k, path, min(line) AS start_line, count(*)::INT AS n_lines, string_agg(code || ' ' || line, chr(10) ORDER BY line) AS text
     FROM l GROUP BY k, path) GROUP BY ALL""")
 def slice_text(spark, d):
     blocks = slices.rendered(slices.slice_lines(_g(spark, d), _members(spark, d)))
@@ -606,7 +606,7 @@ def split_by_program(spark, d):
 
 @query(WITH + """, c AS (SELECT function_id, id, row_number() OVER (PARTITION BY function_id ORDER BY id) AS no, type FROM n WHERE function_id IS NOT NULL AND type = 'Condition'),
     r AS (SELECT function_id, id, row_number() OVER (PARTITION BY function_id ORDER BY id) AS no FROM n WHERE function_id IS NOT NULL AND type = 'ExpressionStatement')
-    SELECT c.function_id, c.no, c.id AS x, r.id AS y FROM c JOIN r ON r.function_id = c.function_id AND r.no = c.no""")
+    SELECT c.function_id, c.no::INT AS no, c.id AS x, r.id AS y FROM c JOIN r ON r.function_id = c.function_id AND r.no = c.no""")
 def zipped_pairs(spark, d):
     of = lambda kind: _n(spark, d).where(F.col("type") == kind).where("function_id is not null").select("function_id", "id").distinct()
     return windows.pairs(of("Condition"), of("ExpressionStatement"), "function_id", "id")
