@@ -143,7 +143,7 @@ def test_slices_follow_data_and_control(spark, graph):
     assert sorted(set(ahead)) == ["asink ( len , buf ) ;", "len = 3 ;", "return len ;"]
     lines = slices.slice_lines(g, slices.program_slice(g, pts))
     text = slices.rendered(lines).first()
-    assert text.text.splitlines()[0].startswith("char * in") and text.lines[-1].split(" ")[-1] == "9"
+    assert text.text.splitlines()[0].startswith("char * in") and text.lines[-1].split(" ")[-1] == "8"
     bad = spark.createDataFrame([("/src/t1/a.c", 8), ("/src/t1/a.c", 8), ("/other", 8), (None, None)], "path string, line int")
     labels = [tuple(r)[1:] for r in slices.label_slices(lines, bad).collect()]
     assert labels == [(1, 1)]
