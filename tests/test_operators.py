@@ -248,3 +248,20 @@ def test_filters_and_columns_reach_the_scan(spark, graph, tmp_path):
     assert "code" in scan and "operator" not in scan and "filepath" not in scan
     text = lookup.query(g.nodes, "type:Callee AND code:mem*").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(code,mem)" in text
+
+
+def test_called_lines_follow_the_call(spark, graph):
+    g = graph
+    seed = one(g, "helper ( buf , len ) ;").first().id
+    given = spark.createDataFrame([("api", "t1", 1, [seed])], "kind string, test_id string, function_id long, node_ids array<long>")
+    pts = slices.points_of(given)
+    lines = slices.inlined_lines(g, slices.program_slice(g, pts, call_hops=1), pts).orderBy("place").collect()
+    order = [r.line for r in lines]
+    at = order.index(9)
+    assert order[at + 1 : at + 2] == [2] and order[:at] == sorted(order[:at]) and min(order[:at]) == 4
+
+
+def test_modifiers_lead_what_follows(spark):
+    rows = [(1, 7, 0, "static"), (2, 7, 5, "inline"), (3, 7, 9, "int x ;"), (4, 7, 12, "y ;"), (5, 8, 0, "static"), (6, 8, None, None)]
+    got = {r.id: r.code for r in slices.fold_modifiers(spark.createDataFrame(rows, "id long, function_id long, start_idx int, code string")).collect()}
+    assert got == {3: "static inline int x ;", 4: "y ;", 6: None}

@@ -204,3 +204,12 @@ def test_driver_contract(spark):
     queries, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 90
     assert all(callable(f) for f in queries.values())
+
+
+def test_verdicts_and_similar_words(spark):
+    from weftgraph.functions.embed import similar_words
+
+    rows = spark.createDataFrame([("t", 2, ["f", "g"], "fp"), ("t", 1, ["f"], "tp"), ("u", 3, [], "tn")], "case_id string, sample_id long, functions array<string>, outcome string")
+    assert {(r.case_id, r.function): r.outcomes for r in scores.verdicts(rows).collect()} == {("t", "f"): ["tp", "fp"], ("t", "g"): ["fp"]}
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.1]), ("c", [0.0, 1.0])], "token string, vec array<double>")
+    assert [r.token for r in similar_words(v, "a", 1).collect()] == ["b"] and similar_words(v, "zz").count() == 0

@@ -96,3 +96,16 @@ def baseline_scores(train: DataFrame, samples: DataFrame, key: str = "sample_id"
     fit = LogisticRegression(maxIter=50, regParam=0.001).fit(train.select(array_to_vector("vec").alias("features"), F.col("label").cast("double").alias("label")))
     scored = fit.transform(samples.select(key, array_to_vector("vec").alias("features")))
     return scored.select(key, F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+
+
+def similar_words(vectors: DataFrame, word: str, k: int = 10) -> DataFrame:
+    """``(token, cos)``: the ``k`` words whose vectors are nearest to that of a word, itself left out; none for an unknown word."""
+    found = vectors.where(F.col("token") == word).select("vec").head(1)
+    if not found:
+        return vectors.limit(0).select("token", F.lit(0.0).alias("cos"))
+    q = np.array(found[0].vec)
+    q = q / max(float(np.linalg.norm(q)), 1e-12)
+    size = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
+    dot = F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(x)) for x in q]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    near = vectors.where(F.col("token") != word).select("token", (dot / F.greatest(size, F.lit(1e-12))).alias("cos"))
+    return near.orderBy(F.desc("cos"), "token").limit(k)

@@ -110,3 +110,10 @@ def one_hot(label: Column, size: int) -> Column:
 def in_top_k(p: Column, y: Column, k: int) -> Column:
     """Whether fewer than ``k`` values are greater than that of the true class."""
     return F.size(F.filter(p, lambda v: v > F.get(p, y))) < k
+
+
+def verdicts(rows: DataFrame) -> DataFrame:
+    """``(case_id, function, outcomes)`` from ``rows(case_id, sample_id, functions, outcome)``: the verdicts on each function in order of samples."""
+    each = rows.select("case_id", "sample_id", F.explode("functions").alias("function"), "outcome")
+    cell = F.sort_array(F.collect_list(F.struct("sample_id", "outcome")))
+    return each.groupBy("case_id", "function").agg(F.transform(cell, lambda x: x["outcome"]).alias("outcomes"))

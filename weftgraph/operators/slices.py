@@ -199,3 +199,39 @@ def flawed_lines_by_file(vul_lines: DataFrame, shared: str = "/shared/") -> Data
 def split_of_case(test_id: Column, train_percent: int = 80) -> Column:
     """``train`` or ``test`` by hash of the test case, the same at every time and place."""
     return F.when(F.pmod(F.conv(F.substring(F.md5(test_id), 1, 8), 16, 10).cast("long"), F.lit(100)) < train_percent, "train").otherwise("test")
+
+
+# Words that the parser leaves as statements of their own in front of a declaration.
+MODIFIERS = ["static", "inline", "virtual", "explicit", "friend"]
+
+
+def fold_modifiers(nodes: DataFrame) -> DataFrame:
+    """``nodes(id, function_id, start_idx, code, ...)`` without modifiers that stand alone; they lead the code of the node behind them instead."""
+    w = Window.partitionBy("function_id").orderBy(F.col("start_idx").asc_nulls_first(), "id")
+    lone = F.col("code").isin(MODIFIERS)
+    run = nodes.withColumn("_lone", F.coalesce(lone, F.lit(False)))
+    run = run.withColumn("_run", F.sum(F.when(F.col("_lone"), 0).otherwise(1)).over(w) - F.when(F.col("_lone"), 0).otherwise(1))
+    before = F.collect_list(F.when(F.col("_lone"), F.col("code"))).over(Window.partitionBy("function_id", "_run").orderBy(F.col("start_idx").asc_nulls_first(), "id").rowsBetween(Window.unboundedPreceding, -1))
+    led = run.withColumn("code", F.when(F.size(before) > 0, F.concat_ws(" ", F.array_join(before, " "), "code")).otherwise(F.col("code")))
+    return led.where("not _lone").drop("_lone", "_run")
+
+
+def inlined_lines(g: CodeGraph, members: DataFrame, points: DataFrame, hops: int = 3) -> DataFrame:
+    """``(slice_id, place, path, line, code)``: the lines of each slice with those of called functions behind the line that calls them.
+
+    ``place`` is what to sort by: the lines of the calls that lead to a function, and the line. Functions of the points come first in their own
+    order; a function that is called in several places stands at the first; what no call within ``hops`` leads to follows at the end.
+    """
+    where = g.node("code", "line", "col", "filepath", "function_id", where="line >= 0 and code is not null")
+    rows = members.join(where, "id")
+    placed = points.select("slice_id", "id").join(rows.select("slice_id", "id", "function_id"), ["slice_id", "id"]).select("slice_id", "function_id").distinct().withColumn("lead", F.array().cast("array<int>"))
+    calls = rows.select("slice_id", "id", F.col("function_id").alias("caller"), "line").join(text_calls(g).select("id", "callee"), "id")
+    for _ in range(hops):
+        step = calls.join(placed.withColumnRenamed("function_id", "caller"), ["slice_id", "caller"])
+        step = step.groupBy("slice_id", F.col("callee").alias("function_id")).agg(F.min(F.concat("lead", F.array("line"))).alias("lead"))
+        placed = placed.unionByName(step.join(placed.select("slice_id", "function_id"), ["slice_id", "function_id"], "left_anti"))
+    last = F.array(F.lit(2**31 - 1))
+    cell = F.sort_array(F.collect_set(F.struct(F.coalesce("col", F.lit(-1)).alias("c"), "id", "code")))
+    lines = rows.groupBy("slice_id", "function_id", F.col("filepath").alias("path"), "line").agg(F.array_join(F.transform(cell, lambda x: x["code"]), " ").alias("code"))
+    lines = lines.join(placed, ["slice_id", "function_id"], "left")
+    return lines.select("slice_id", F.concat(F.coalesce("lead", last), F.array("line")).alias("place"), "path", "line", "code")
