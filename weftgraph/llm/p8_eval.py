@@ -104,7 +104,8 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, least_run: int = L
     """``(doc_id, item_id, n_words)``: the document holds ``n_words >= least_run`` consecutive words of the item, the longest such run.
 
     Words are compared by 64-bit hash. Null and empty texts, and texts with fewer words, hold and leak nothing. Whether the fingerprints of the
-    items are sent to all executors is left to their measured size; only hits go back to the texts.
+    items are sent to all executors is left to their measured size; only hits go back to the texts. Repeated rows of a document or an item count
+    once.
     """
     docs = documents.where("text is not null and doc_id is not null").select(F.col("doc_id").alias("id"), _hashes(F.col("text")).alias("h"))
     items = eval_items.where("text is not null and item_id is not null").select(F.col("item_id").alias("id"), _hashes(F.col("text")).alias("h"))
@@ -112,4 +113,5 @@ def leaked_items(documents: DataFrame, eval_items: DataFrame, least_run: int = L
     hits = fingerprints(docs, k, least_run).join(of_items, "fp")
     seeds = hits.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.collect_set(F.struct("pos", "item_pos")).alias("seeds"))
     full = seeds.join(docs.select(F.col("id").alias("doc_id"), "h"), "doc_id").join(items.select(F.col("id").alias("item_id"), F.col("h").alias("item_h")), "item_id")
-    return full.mapInArrow(_extend(least_run), "doc_id long, item_id long, n_words int")
+    runs = full.mapInArrow(_extend(least_run), "doc_id long, item_id long, n_words int")
+    return runs.groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

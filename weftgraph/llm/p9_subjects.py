@@ -173,10 +173,10 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: DataFrame) ->
     """``(doc_id, subject)``: the subjects that at least a quarter of the document's sentences deal with.
 
     Null, empty and blank texts, texts without sentences and texts that no rule matches have none; without labels there are no rows. Labels are
-    used to mine rules alone: a labelled document is scored like any other.
+    used to mine rules alone: a labelled document is scored like any other. Repeated rows of a document count once.
     """
     found = scored(documents, labels, subjects).where(F.col("n_hits") * SHARE_DEN >= F.col("n_sentences") * SHARE_NUM)
-    return found.where(F.col("n_sentences") > 0).select("doc_id", "subject")
+    return found.where(F.col("n_sentences") > 0).select("doc_id", "subject").distinct()
 
 
 def composition(documents: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
