@@ -265,3 +265,54 @@ def test_modifiers_lead_what_follows(spark):
     rows = [(1, 7, 0, "static"), (2, 7, 5, "inline"), (3, 7, 9, "int x ;"), (4, 7, 12, "y ;"), (5, 8, 0, "static"), (6, 8, None, None)]
     got = {r.id: r.code for r in slices.fold_modifiers(spark.createDataFrame(rows, "id long, function_id long, start_idx int, code string")).collect()}
     assert got == {3: "static inline int x ;", 4: "y ;", 6: None}
+
+
+def test_what_arguments_rest_on(graph):
+    from weftgraph.operators import arguments
+
+    g = graph
+    call = g.nodes.where("type = 'CallExpression' and code = 'memcpy ( buf , in , len )'")
+    named = {(r.place, r.var): r.definition for r in arguments.definitions_per_argument(g, call).collect()}
+    assert set(named) == {(0, "buf"), (1, "in"), (2, "len")}
+    assert codes(g, arguments.definitions_per_argument(g, call).where("var = 'len'").select(F.col("definition").alias("id"))) == ["int len = source ( in ) ;"]
+    assert [(r.place, r.template) for r in arguments.conditions_per_argument(g, call).collect()] == [(2, "ARG < NUM")]
+    read = g.nodes.where("type = 'CallExpression' and code = 'read_input ( dst , size )'")
+    rows = arguments.call_graphlets(g, read).collect()
+    assert {r.kind for r in rows} == {"data", "call"} and max(r.level for r in rows) == 1
+    found = codes(g, arguments.call_graphlets(g, read).where("level = 1").select(F.col("src").alias("id")))
+    assert "int len = source ( in ) ;" in found
+
+
+def test_parts_of_a_graph(graph):
+    from weftgraph.operators import arguments
+
+    part = graph.of_functions(arguments.functions_named(graph, "helper", "t1"))
+    assert {r.name for r in part.nodes.where("type = 'Function'").collect()} == {"helper"}
+    ids = {r.id for r in part.nodes.collect()}
+    assert part.edges.count() and all(r.src in ids and r.dst in ids for r in part.edges.collect())
+    assert arguments.functions_named(graph, "nobody").count() == 0
+
+
+def test_methods_and_destructors(spark):
+    from weftgraph.operators import arguments
+
+    text = "int C::run(int x) { return x; }\nC::~C() { free(p); }\nC::C(int a) { p = a; }\nint main(void) { C *c = new C(1); c->run(2); delete c; D d; d.run(3); return 0; }"
+    g = CodeGraph(*build_graph(spark.createDataFrame([("/k/t/m.cpp", text, "t")], "path string, text string, test_id string")))
+    name = {r.id: r.name for r in g.nodes.where("type = 'Function'").collect()}
+    assert set(name.values()) == {"C :: run", "C :: ~C", "C :: C", "main"}
+    assert {name[r.callee] for r in arguments.method_calls(g).collect()} >= {"C :: run"}
+    assert {name[r.callee] for r in slices.text_calls(g).collect()} == {"C :: C"}
+
+
+def test_nearest_conditions(spark):
+    from weftgraph.operators import arguments
+
+    scopes = spark.createDataFrame([(1, True, 2), (1, True, 3), (1, True, 4), (2, False, 4)], "test long, branch boolean, id long")
+    assert {r.id: r.test for r in arguments.nearest_condition(scopes).collect()} == {2: 1, 3: 1, 4: 2}
+
+
+def test_sanitisers_stop_taint(graph):
+    g = graph
+    end = one(g, "return n ;", "ReturnStatement")
+    up = codes(g, taint.tainted_by(g, end, sanitizer=F.col("code").rlike("^helper ")))
+    assert "int n = read_input ( dst , size ) ;" in up and "helper ( buf , len ) ;" not in up

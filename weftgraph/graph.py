@@ -44,6 +44,15 @@ class CodeGraph:
         edges = self.edges.where(F.col("etype").isin(*kinds)) if kinds else self.edges
         return edges.where("src is not null and dst is not null").select(*columns).distinct()
 
+    def of_functions(self, functions: DataFrame) -> CodeGraph:
+        """The part of the graph that belongs to ``functions(id)``: their nodes, and the edges among these."""
+        wanted = functions.select("id").distinct()
+        own = self.nodes.join(wanted.withColumnRenamed("id", "function_id"), "function_id", "left_semi")
+        nodes = own.unionByName(self.nodes.join(wanted, "id", "left_semi").select(*own.columns)).select(*self.nodes.columns)
+        ids = nodes.select("id").distinct()
+        edges = self.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        return CodeGraph(nodes, edges.select(*self.edges.columns))
+
     def write(self, folder: str, append: bool = False) -> None:
         """Parquet with a folder for each type, so that lookups and hops read their types alone. ``append`` adds to what is there."""
         mode = "append" if append else "overwrite"

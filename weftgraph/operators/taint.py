@@ -81,10 +81,11 @@ def interprocedural_edges(g: CodeGraph) -> DataFrame:
     return argument_links(g).select(F.col("argument").alias("src"), F.col("parameter").alias("dst"), F.lit("IS_ARG").alias("etype")).distinct()
 
 
-def tainted_by(g: CodeGraph, pipe: DataFrame, loops: int = 4) -> DataFrame:
+def tainted_by(g: CodeGraph, pipe: DataFrame, loops: int = 4, sanitizer: Column | None = None) -> DataFrame:
     """``(root, id, hops)``: statements that data flows from to the pipe's, within functions and from callers' arguments, in ``loops`` steps.
 
-    A step goes from a use to a definition that reaches it, or from a parameter to the statements that hold an argument for it.
+    A step goes from a use to a definition that reaches it, or from a parameter to the statements that hold an argument for it. Nothing flows through
+    a statement whose code meets ``sanitizer``.
     """
     back = g.edge("REACHES").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     if not g.nodes.where("type = 'Argument'").isEmpty():
@@ -92,6 +93,8 @@ def tainted_by(g: CodeGraph, pipe: DataFrame, loops: int = 4) -> DataFrame:
         holder = steps.statement_of(g, links.select(F.col("argument").alias("id"))).select(F.col("id").alias("argument"), "statement")
         up = links.join(holder, "argument").select(F.col("parameter").alias("src"), F.col("statement").alias("dst"))
         back = back.unionByName(up)
+    if sanitizer is not None:
+        back = back.join(g.node(where=sanitizer).withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
     return reach(back, pipe.select(F.col("id").alias("root"), "id"), loops)
 
 
