@@ -13,7 +13,7 @@ from weftgraph.functions.embed import api_vectors, baseline_scores, embedded, me
 from weftgraph.functions.recurrent import Classifier, predict
 from weftgraph.graph import CodeGraph
 from weftgraph.io import table
-from weftgraph.operators import checks, lookup, points, reach, slices, snippets, steps, taint, windows
+from weftgraph.operators import arguments, checks, lookup, points, reach, slices, snippets, steps, taint, windows
 from weftgraph.sources.textual import case_of_folders, graph_text
 from weftgraph.sources.tree import folders
 from weftgraph.streaming.dedup import windowed_counts
@@ -270,6 +270,24 @@ def callers_within_3(spark, d):
     return slices.callers_within(_g(spark, d), _of(spark, d, "Function"))
 
 
+@query()
+def method_calls(spark, d):
+    return arguments.method_calls(_g(spark, d))
+
+
+@query("SELECT DISTINCT id, type FROM nodes WHERE id IS NOT NULL AND (id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%') OR function_id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%'))")
+def nodes_of_functions(spark, d):
+    g = _g(spark, d)
+    return g.of_functions(_pipe(lookup.functions_by_name(g.nodes, "read*"))).node("type")
+
+
+@query(WITH + """, f AS MATERIALIZED (SELECT id FROM n WHERE id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%') OR function_id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%'))
+    SELECT DISTINCT src, dst, etype FROM e WHERE src IN (FROM f) AND dst IN (FROM f)""")
+def edges_of_functions(spark, d):
+    g = _g(spark, d)
+    return g.of_functions(_pipe(lookup.functions_by_name(g.nodes, "read*"))).edge(columns=("src", "dst", "etype"))
+
+
 # ---- dependence and slices
 
 
@@ -383,6 +401,17 @@ def if_scopes(spark, d):
     return slices.scopes_of(slices.if_scopes(_g(spark, d)))
 
 
+@query()
+def nearest_conditions(spark, d):
+    return arguments.nearest_condition(slices.if_scopes(_g(spark, d)))
+
+
+@query()
+def inlined_slices(spark, d):
+    pts = slices.points_of(table(spark, d, "slice_points"))
+    return slices.inlined_lines(_g(spark, d), _members(spark, d), pts)
+
+
 @query(WITH + """SELECT DISTINCT m.id AS src, u.id AS dst, m.var FROM (SELECT id, function_id, line, regexp_extract(code, '([A-Za-z_]\\w*) = new ', 1) AS var FROM n WHERE code IS NOT NULL AND function_id IS NOT NULL) m
     JOIN (SELECT id, function_id, line, unnest(list_concat(regexp_extract_all(code, '(?:^| )([A-Za-z_]\\w*) -> ', 1), regexp_extract_all(code, '(?:^| )delete ([A-Za-z_]\\w*)', 1))) AS var FROM n
     WHERE code IS NOT NULL AND function_id IS NOT NULL) u ON u.function_id = m.function_id AND u.var = m.var WHERE m.var <> '' AND m.id <> u.id AND u.line >= m.line""")
