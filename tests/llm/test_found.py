@@ -274,7 +274,8 @@ def test_ids_are_those_of_the_library(spark):
     tok.encode_special_tokens = True
     rng = random.Random(2)
     alphabet = [chr(c) for c in (9, 10, 13, 28, 32, 0x85, 0xA0, 0x2028, 0x3000, 0xFEFF)] + list("aAé中١²'’s!<|") + ["<|endoftext|>", "👩‍💻", "'ll"]
-    texts = ["", None, " ", "I'LL say: we'll", "a" * 3000, " " * 2000, "ab" * 700, "<|endoftext|>"] + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(400)]
+    long_words = ["".join(rng.choices("abcdefghij", k=120)) for _ in range(600)]
+    texts = [" ".join(long_words), "", None, " ", "I'LL say: we'll", "a" * 3000, " " * 2000, "ab" * 700, "<|endoftext|>"] + ["".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(400)]
     got = {r.doc_id: r.ids for r in p7_ids.token_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: tok.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert p7_ids.token_ids(spark.createDataFrame([], "doc_id long, text string")).count() == 0

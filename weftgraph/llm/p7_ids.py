@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 
 #: The tokenizer by default; any byte-level BPE file of this form may be given.
 DEFAULT = "byte_bpe_50k.json"
-#: Bytes of the longest piece that DuckDB contracts, new pieces of one recursive query, and pieces that a partition remembers.
-LONGEST, AT_ONCE, REMEMBERED = 128, 20_000, 400_000
+#: Bytes of the longest piece that DuckDB contracts, rows that one recursive query may make (a piece of n bytes makes n * n / 2 at most), and pieces
+#: that a partition remembers.
+LONGEST, ROWS_AT_ONCE, REMEMBERED = 128, 2_000_000, 400_000
 
 # Fixed value: how byte-level BPE cuts text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -69,7 +70,7 @@ class Encoder:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, made = ([vocab[x] for x in xs] for xs in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.merges = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(zip(left, right, made))}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         table = pa.table({"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(range(len(left)), pa.int64()), "made": pa.array(made, pa.int32())})
         self.db.register("merges_given", table)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_given")
@@ -85,8 +86,12 @@ class Encoder:
         for k, c in enumerate(coded):
             if len(c) > LONGEST:
                 self.known[new[k]] = np.array(self._heap(c), dtype=np.int32)
-        for low in range(0, len(short), AT_ONCE):
-            part = short[low : low + AT_ONCE]
+        made = np.cumsum([len(coded[k]) * (len(coded[k]) + 1) // 2 for k in short])
+        bounds = [0, *np.searchsorted(made, range(ROWS_AT_ONCE, int(made[-1]) if len(made) else 0, ROWS_AT_ONCE)), len(short)]
+        for low, high in zip(bounds, bounds[1:]):
+            part = short[low:high]
+            if not part:
+                continue
             size = np.array([len(coded[k]) for k in part])
             tok = self.byte_ids[np.frombuffer(b"".join(coded[k] for k in part), np.uint8)]
             word = np.repeat(np.arange(len(part), dtype=np.int32), size)
