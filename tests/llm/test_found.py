@@ -74,6 +74,25 @@ def test_a_hot_column_is_cut_into_blocks():
     assert pairs == set(combinations(range(60), 2))
 
 
+@pytest.mark.parametrize("count", [4_000_000, 4_194_303, 4_194_304, 5_000_000])
+def test_pairs_of_columns_beyond_the_clipped_count(count):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    sets = {1024 * i: sorted(rng.sample(range(1 << 40, 1 << 62, (1 << 62) // 10), 8)) for i in range(1, 13)}  # all in one block of 1024
+
+    class Counts:
+        value = np.array([count], np.uint32)
+
+    given = [pa.array(sets), pa.array(sets.values(), pa.list_(pa.int64())), pa.array([3] * len(sets), pa.int8())]
+    (entries,) = setjoin._entries(Counts, 3, 5)([pa.RecordBatch.from_arrays(given, ["sid", "h", "side"])])
+    order = pa.Table.from_batches([entries]).sort_by([("key", "ascending"), ("block", "ascending"), ("n", "ascending")]).combine_chunks().to_batches()
+    got = {frozenset(p.values()) for b in setjoin._multiply(3, 5, True)(order) for p in b.to_pylist()}
+    want = {frozenset((x, y)) for x, y in combinations(sets, 2) if 5 * len({*sets[x]} & {*sets[y]}) >= 3 * len({*sets[x]} | {*sets[y]})}
+    assert want and want <= got
+
+
 def test_classes_have_one_row_for_each_record(nodes):
     rows = mixed_rows()
     got = {r.id: r for r in p1_near.similar_classes(nodes(rows)).collect()}

@@ -115,8 +115,9 @@ def _entries(counts, num: int, den: int):
             rep = np.repeat(np.arange(len(key)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            meta = (n[row].astype(np.int64) << 34) | (pos.astype(np.int64) << 2) | side
-            cols = [key[rep], (low << 31) | high, n[row][rep].astype(np.int32), sid[rep], meta[rep], lanes[0][row][rep], lanes[1][row][rep]]
+            upper = (own[rep] == high).astype(np.int64)  # the block itself is carried, for the key holds a clipped count
+            meta = (pos.astype(np.int64) << 3) | side
+            cols = [key[rep], (low << 31) | high, n[row][rep].astype(np.int32), sid[rep], meta[rep] | (upper << 2), lanes[0][row][rep], lanes[1][row][rep]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "n", "sid", "meta", "s0", "s1"])
 
     return run
@@ -130,7 +131,7 @@ def _multiply(num: int, den: int, both: bool):
     whole = num + den
 
     def pairs_of(key, block, n, sid, meta, s0, s1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        pos, side = (meta >> 2) & ((1 << 32) - 1), meta & 3
+        pos, upper, side = meta >> 3, (meta >> 2) & 1, meta & 3
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
         group = np.zeros(len(key), np.int64)
         group[starts[1:]] = 1
@@ -157,9 +158,7 @@ def _multiply(num: int, den: int, both: bool):
             first, last = block[x] >> 31, block[x] & ((1 << 31) - 1)
             apart = first != last
             if apart.any():  # two blocks meet: pairs within one of them belong to its own group
-                count = np.minimum(key[x] >> 41, (1 << 22) - 1)
-                blocks = (1 + count // BLOCK_ROWS).astype(np.uint64)
-                same = sid[x].view(np.uint64) % blocks == sid[y].view(np.uint64) % blocks
+                same = upper[x] == upper[y]
                 x, y = x[~(apart & same)], y[~(apart & same)]
             differ = sum(np.bitwise_count((s[x] ^ s[y]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
             most = (n[x].astype(np.int64) + n[y] - differ) // 2
