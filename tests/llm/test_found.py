@@ -181,6 +181,28 @@ def test_leaks_are_those_of_brute_force(spark, nodes):
     assert {r.node_id for r in shown} == {i for _, _, i in want} and all(0 <= r.n_covered <= r.n_words for r in shown)
 
 
+def test_coverage_is_that_of_the_closest_record(spark, nodes):
+    rng = random.Random(9)
+    rows = []
+    for k in range(0, 400, 10):
+        base = [f"w{k}_{i}" for i in range(30)]
+        for j in range(10):
+            own = [w for w in base if rng.random() > 0.1] + [f"n{rng.randrange(9)}" for _ in range(rng.randrange(4))]
+            cut = rng.randrange(len(own))
+            rows.append((1000 - k - j, " ".join(own[cut:] + own[:cut]), "h1" if j % 3 else "t1"))
+        rows += [(2000 + k, rows[-1][1], "t1"), (2001 + k, rows[-2][1], "h1"), (2002 + k, rows[-10][1], "h1")]
+    splits = spark.createDataFrame([("t1", "train", datetime(2040, 1, 1)), ("h1", "test", datetime(2040, 1, 1))], "test_id string, split string, assigned_at timestamp")
+    cases = spark.createDataFrame([("h1", "sard")], "test_id string, source string")
+    seq = {i: code.split(" ") for i, code, _ in rows}
+    sets = {i: word_set(code) for i, code, _ in rows}
+    pairs = [(i, j) for i, _, c in rows for j, _, d in rows if c == "h1" and d == "t1" and similar(sets[i], sets[j])]
+    chained = p3_leaks.chained  # in the workers, whose hashes of strings are their own
+    tried = spark.sparkContext.parallelize(pairs, 4).map(lambda p: (p[0], -chained(seq[p[0]], seq[p[1]]), p[1])).collect()
+    want = {i: min((n, j) for k, n, j in tried if k == i) for i, _, _ in tried}
+    got = {r.node_id: (-r.n_covered, r.train_id) for r in p3_leaks.coverage(nodes(rows), cases, splits).collect()}
+    assert len(want) > 100 and got == want
+
+
 def test_chains_follow_both_texts():
     a = "the quick brown fox jumps over the lazy dog and runs far away".split()
     assert p3_leaks.chained(a, a) == len(a)

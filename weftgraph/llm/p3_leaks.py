@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.cases import case_key, case_splits
-from weftgraph.llm.common import records, words
+from weftgraph.llm.common import kept, records, words
 from weftgraph.llm.p1_near import DEN, LEAST_WORDS, NUM
 from weftgraph.llm.setjoin import LEFT, RIGHT, long_sets, similar_sets
 
@@ -95,22 +95,31 @@ def chained(held: list[str], train: list[str], k: int = K, window: int = WINDOW)
 def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         covered = [chained(list(x), list(y)) for x, y in zip(b["held_words"], b["train_words"])]
-        yield pd.DataFrame({"node_id": b["node_id"], "split": b["split"], "case": b["case"], "train_id": b["train_id"], "n_words": b["held_words"].map(len), "n_covered": covered})
+        yield pd.DataFrame({"held": b["held"], "train_id": b["train_id"], "n_words": b["held_words"].map(len), "n_covered": covered})
 
 
 def coverage(nodes: DataFrame, test_cases: DataFrame, dataset_splits: DataFrame) -> DataFrame:
     """``(node_id, split, source, train_id, n_words, n_covered)``: how much of each leaked record the closest train record holds in order.
 
-    The closest is the similar train record with the smallest id of the similar set with the smallest key; one alignment is made for each record.
+    Each is aligned with all train records whose set is similar to its own; the closest is the one that covers the most words, of several the one
+    with the smallest id. Records with the same words in the same order are aligned once.
     """
     placed, links = _links(nodes, dataset_splits, NUM, DEN, LEAST_WORDS)
-    train = placed.where("split = 'train'").groupBy(F.col("sid").alias("train_sid")).agg(F.min("id").alias("train_id"))
-    closest = links.join(train, "train_sid").groupBy("sid").agg(F.min("train_id").alias("train_id"))
-    pairs = placed.where("split <> 'train'").join(closest, "sid").select(F.col("id").alias("node_id"), "split", "case", "train_id")
-    text = records(nodes).select("id", words(F.col("code")).alias("w"))
-    pairs = pairs.join(text.select(F.col("id").alias("node_id"), F.col("w").alias("held_words")), "node_id")
-    pairs = pairs.join(text.select(F.col("id").alias("train_id"), F.col("w").alias("train_words")), "train_id")
-    out = pairs.mapInPandas(_cover, "node_id long, split string, case string, train_id long, n_words long, n_covered long")
+    links = kept(links.distinct())
+    is_train = F.col("split") == "train"
+    placed = placed.join(links.select("sid").distinct(), "sid", "left_semi").where(~is_train).unionByName(placed.join(links.select(F.col("train_sid").alias("sid")).distinct(), "sid", "left_semi").where(is_train))
+    placed = kept(placed.select("id", "sid", "case", "split"))
+    text = records(nodes.select("id", "loaded_at", "code").join(placed.select("id").distinct(), "id", "left_semi")).select("id", words(F.col("code")).alias("w"))
+    placed = kept(placed.join(text, "id").select("id", "sid", "case", "split", F.xxhash64("w").alias("seq"), "w"))
+    held = placed.where("split <> 'train'")
+    one = F.min(F.struct("id", "w"))
+    held_texts = held.groupBy("sid", F.col("seq").alias("held")).agg(one.alias("t")).select("sid", "held", F.col("t.w").alias("held_words"))
+    train = placed.where("split = 'train'").groupBy(F.col("sid").alias("train_sid"), "seq").agg(one.alias("t")).select("train_sid", F.col("t.id").alias("train_id"), F.col("t.w").alias("train_words"))
+    pairs = links.join(held_texts, "sid").join(train, "train_sid").select("held", "held_words", "train_id", "train_words")
+    aligned = pairs.mapInPandas(_cover, "held long, train_id long, n_words long, n_covered long")
+    best = F.max(F.struct("n_covered", (-F.col("train_id")).alias("last"), "n_words")).alias("best")
+    best = aligned.groupBy(F.col("held").alias("seq")).agg(best).select("seq", (-F.col("best.last")).alias("train_id"), "best.n_words", "best.n_covered")
+    out = held.select(F.col("id").alias("node_id"), "split", "case", "seq").join(best, "seq")
     named = test_cases.select(case_key(F.col("test_id")).alias("case"), F.lower(F.regexp_replace("source", r"^\s+|\s+$", "")).alias("source"))
     named = named.groupBy("case").agg(F.min("source").alias("source"))
     out = out.join(named, "case", "left")
