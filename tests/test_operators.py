@@ -261,6 +261,47 @@ def test_called_lines_follow_the_call(spark, graph):
     assert order[at + 1 : at + 2] == [2] and order[:at] == sorted(order[:at]) and min(order[:at]) == 4
 
 
+def test_slices_cross_calls(spark, tmp_path):
+    from weftgraph.plans.queries import QUERIES
+
+    chain = [f"int f{i}(int a) {{\n  int b = f{i + 1}(a);\n  return b;\n}}" for i in range(8)] + ["int f8(int a) {\n  return a;\n}"]
+    g = CodeGraph(*build_graph(spark.createDataFrame([("/k/t/m.c", "\n".join(reversed(chain)), "t")], "path string, text string, test_id string")))
+    g.nodes.write.parquet(str(tmp_path / "nodes.parquet"))
+    g.edges.write.parquet(str(tmp_path / "edges.parquet"))
+    g = CodeGraph.read(spark, str(tmp_path))
+    nodes, edges = g.nodes.collect(), slices.dependence_edges(g).collect()
+    name = {r.id: r.name for r in nodes if r.type == "Function"}
+    seed = next(r for r in nodes if r.is_cfg and r.code == "int b = f5 ( a ) ;")
+    given = spark.createDataFrame([("api", "t", seed.function_id, [seed.id])], "kind string, test_id string, function_id long, node_ids array<long>")
+    given.coalesce(1).write.parquet(str(tmp_path / "slice_points.parquet"))
+
+    def follow(start, back):
+        seen, todo = set(), list(start)
+        while todo:
+            i = todo.pop()
+            if i not in seen:
+                seen.add(i)
+                todo += [e.src for e in edges if back and e.dst == i] + [e.dst for e in edges if not back and e.src == i and e.var is not None]
+        return seen
+
+    calls = [(r.id, name[r.function_id], f"f{i}") for r in nodes if r.is_cfg and r.code for i in range(9) if f"f{i} (" in r.code and name.get(r.function_id, f"f{i}") != f"f{i}"]
+    found = follow([seed.id], True) | follow([seed.id], False)
+    for _ in range(3):
+        taken = {name[r.function_id] for r in nodes if r.id in found and r.type == "Parameter"}
+        found |= follow([i for i, _, callee in calls if callee in taken], True)
+    whole = set()
+    while more := {c for i, f, c in calls if i in found or f in whole} - whole:
+        whole |= more
+    want = found | {r.id for r in nodes if r.is_cfg and name.get(r.function_id) in whole}
+    got = {r.id for r in slices.crossing_slice(g, slices.points_of(given)).collect()}
+    assert got == want, [(r.type, r.code, name.get(r.function_id), r.id in got) for r in nodes if r.id in got ^ want]
+    lines = {r.id: r.line for r in nodes}
+    got = {r.line for r in QUERIES["inlined_slices"](spark, str(tmp_path)).collect()}
+    assert got == {r.line for r in nodes if r.id in want and r.line is not None and r.line >= 0 and r.code is not None}
+    touched = {name[r.function_id] for r in nodes if r.id in want and name.get(r.function_id)}
+    assert touched == {f"f{i}" for i in range(1, 9)} and lines[seed.id] in got
+
+
 def test_modifiers_lead_what_follows(spark):
     rows = [(1, 7, 0, "static"), (2, 7, 5, "inline"), (3, 7, 9, "int x ;"), (4, 7, 12, "y ;"), (5, 8, 0, "static"), (6, 8, None, None)]
     got = {r.id: r.code for r in slices.fold_modifiers(spark.createDataFrame(rows, "id long, function_id long, start_idx int, code string")).collect()}

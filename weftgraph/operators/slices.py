@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
+from weftgraph.io import cut
 from weftgraph.operators.points import called_names
-from weftgraph.operators.reach import reach
+from weftgraph.operators.reach import MOST_ROUNDS, reach
 
 SEPARATOR = "-" * 30
 
@@ -146,6 +147,27 @@ def program_slice(g: CodeGraph, points: DataFrame, call_hops: int = 0) -> DataFr
     return found
 
 
+def crossing_slice(g: CodeGraph, points: DataFrame, caller_hops: int = 3) -> DataFrame:
+    """``(slice_id, id)``: backward and forward slice, what it depends on in callers up to ``caller_hops`` calls away, and all statements of functions
+    that any of this calls, directly or through others.
+
+    Callers count as long as the slice takes in a parameter of the function called. Called functions are taken whole.
+    """
+    calls = cut(text_calls(g))
+    params = g.node("type", "function_id", where="type = 'Parameter'").select("id", F.col("function_id").alias("callee"))
+    found = fresh = cut(backward_slice(g, points).unionByName(forward_slice(g, points)).distinct())
+    for _ in range(caller_hops):
+        up = fresh.join(params, "id").select("slice_id", "callee").distinct().join(calls, "callee").select("slice_id", "id").distinct()
+        fresh = cut(backward_slice(g, up).join(found, ["slice_id", "id"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        found = cut(found.unionByName(fresh))
+    seeds = found.join(calls, "id").select(F.col("slice_id").alias("root"), F.col("callee").alias("id"))
+    down = reach(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds).select(F.col("root").alias("slice_id"), F.col("id").alias("function_id"))
+    inside = down.join(g.node("function_id", "is_cfg", where="is_cfg").select("id", "function_id"), "function_id").select("slice_id", "id")
+    return found.unionByName(inside).distinct()
+
+
 def text_calls(g: CodeGraph) -> DataFrame:
     """``(callee, id, caller)``: statements that name a function of their own test case before a bracket; of several functions of a name the least id
     counts. ``new C`` calls ``C :: C``."""
@@ -216,20 +238,24 @@ def fold_modifiers(nodes: DataFrame) -> DataFrame:
     return led.where("not _lone").drop("_lone", "_run")
 
 
-def inlined_lines(g: CodeGraph, members: DataFrame, points: DataFrame, hops: int = 3) -> DataFrame:
+def inlined_lines(g: CodeGraph, members: DataFrame, points: DataFrame, hops: int | None = None) -> DataFrame:
     """``(slice_id, place, path, line, code)``: the lines of each slice with those of called functions behind the line that calls them.
 
     ``place`` is what to sort by: the lines of the calls that lead to a function, and the line. Functions of the points come first in their own
-    order; a function that is called in several places stands at the first; what no call within ``hops`` leads to follows at the end.
+    order; a function that is called in several places stands at the first; what no call leads to, or none within ``hops``, follows at the end, as callers do.
     """
     where = g.node("code", "line", "col", "filepath", "function_id", where="line >= 0 and code is not null")
     rows = members.join(where, "id")
     placed = points.select("slice_id", "id").join(rows.select("slice_id", "id", "function_id"), ["slice_id", "id"]).select("slice_id", "function_id").distinct().withColumn("lead", F.array().cast("array<int>"))
-    calls = rows.select("slice_id", "id", F.col("function_id").alias("caller"), "line").join(text_calls(g).select("id", "callee"), "id")
-    for _ in range(hops):
-        step = calls.join(placed.withColumnRenamed("function_id", "caller"), ["slice_id", "caller"])
+    calls = cut(rows.select("slice_id", "id", F.col("function_id").alias("caller"), "line").join(text_calls(g).select("id", "callee"), "id"))
+    placed = fresh = cut(placed)
+    for _ in range(hops if hops is not None else MOST_ROUNDS):
+        step = calls.join(fresh.withColumnRenamed("function_id", "caller"), ["slice_id", "caller"])
         step = step.groupBy("slice_id", F.col("callee").alias("function_id")).agg(F.min(F.concat("lead", F.array("line"))).alias("lead"))
-        placed = placed.unionByName(step.join(placed.select("slice_id", "function_id"), ["slice_id", "function_id"], "left_anti"))
+        fresh = cut(step.join(placed.select("slice_id", "function_id"), ["slice_id", "function_id"], "left_anti"))
+        if fresh.isEmpty():
+            break
+        placed = placed.unionByName(fresh)
     last = F.array(F.lit(2**31 - 1))
     cell = F.sort_array(F.collect_set(F.struct(F.coalesce("col", F.lit(-1)).alias("c"), "id", "code")))
     lines = rows.groupBy("slice_id", "function_id", F.col("filepath").alias("path"), "line").agg(F.array_join(F.transform(cell, lambda x: x["code"]), " ").alias("code"))

@@ -409,7 +409,14 @@ def nearest_conditions(spark, d):
 @query()
 def inlined_slices(spark, d):
     pts = slices.points_of(table(spark, d, "slice_points"))
-    return slices.inlined_lines(_g(spark, d), _members(spark, d), pts)
+    return slices.inlined_lines(_g(spark, d), slices.crossing_slice(_g(spark, d), pts), pts)
+
+
+@query()
+def inlined_labels(spark, d):
+    members = slices.crossing_slice(_g(spark, d), slices.points_of(table(spark, d, "slice_points")))
+    labels = slices.label_slices(slices.slice_lines(_g(spark, d), members), table(spark, d, "vul_lines"))
+    return labels.groupBy("label", "n_hits").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + """SELECT DISTINCT m.id AS src, u.id AS dst, m.var FROM (SELECT id, function_id, line, regexp_extract(code, '([A-Za-z_]\\w*) = new ', 1) AS var FROM n WHERE code IS NOT NULL AND function_id IS NOT NULL) m
