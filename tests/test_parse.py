@@ -46,14 +46,16 @@ def test_control_flow(body, nodes, edges, labels):
 @pytest.mark.parametrize(
     ("body", "uses", "defs"),
     [
-        ("x += y;", {"x", "y"}, {"x"}),
-        ("foo.bar = 10;", set(), {"foo . bar"}),
-        ("pLtv->u.u16 = 1;", {"pLtv"}, {"* pLtv", "pLtv -> u", "pLtv -> u . u16"}),
-        ("*(a+b) = 0;", {"a", "b"}, {"* ( a + b )", "* a", "* b"}),
-        ("buf[i] = x;", {"buf", "i", "x"}, {"* buf", "* i"}),
-        ("x++;", {"x"}, {"x"}),
-        ("int x = y;", {"y"}, {"x"}),
-        ("return foo(pLtv->u.u16);", {"foo", "pLtv", "* pLtv", "pLtv -> u", "pLtv -> u . u16"}, set()),
+        ("total += step;", {"total", "step"}, {"total"}),
+        ("box.side = 3;", {"box"}, {"box", "box . side"}),
+        ("draw(box.side);", {"draw", "box", "box . side"} - {"draw"}, set()),
+        ("int w = box.side;", {"box", "box . side"}, {"w"}),
+        ("q->head.next = 1;", {"q", "* q", "q -> head"}, {"* q", "q -> head", "q -> head . next"}),
+        ("*(p+off) = 0;", {"p", "off"}, {"* ( p + off )", "* p", "* off"}),
+        ("tab[row] = v;", {"tab", "row", "v"}, {"* tab", "* row"}),
+        ("n--;", {"n"}, {"n"}),
+        ("long w = h;", {"h"}, {"w"}),
+        ("return size(q->len);", {"size", "q", "* q", "q -> len"}, set()),
     ],
 )
 def test_uses_and_definitions(body, uses, defs):
@@ -61,6 +63,25 @@ def test_uses_and_definitions(body, uses, defs):
     assert (got["use"], got["def"]) == (uses, defs)
 
 
+def test_members_carry_their_base():
+    g = graph("box = make(); int w = box.side; show(box.side);")
+    found = {(g.nodes[a].code, g.nodes[b].code, s) for a, b, s in flow.reaching(g, flow.use_def(g))}
+    assert found == {("box = make ( ) ;", "int w = box . side ;", "box"), ("box = make ( ) ;", "show ( box . side ) ;", "box")}
+
+
+@pytest.mark.parametrize(
+    ("head", "uses", "defs"),
+    [
+        ("int lo = 0, hi = len; lo < hi; lo++", {"len"}, {"lo", "hi"}),
+        ("lo = 0, hi = len; lo < hi; lo++", {"len"}, {"lo", "hi"}),
+        ("char *s = text, *e; *s; s++", {"text"}, {"s", "e"}),
+    ],
+)
+def test_heads_of_loops_hold_all_declarators(head, uses, defs):
+    got = symbols(f"for({head}) {{ step(); }}")
+    assert (got["use"], got["def"]) == (uses, defs)
+
+
 def test_tainted_arguments_define():
     assert symbols("foo(x);", {"foo": {0}}) == {"use": {"x"}, "def": {"x", "* x"}}
     assert symbols("bar(1, &y);", {"bar": {1}})["def"] == {"y"}

@@ -139,12 +139,13 @@ def test_slices_are_written_and_read(spark, tmp_path):
 
 def test_removed_lines_of_a_diff(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    (tmp_path / "d/x.diff").write_text("--- a\n+++ b\n@@ -10,3 +10,3 @@\n keep\n-gone ( ) ;\n+new\n-}\n@@ -40 +40 @@\n-last\n")
+    (tmp_path / "d/x.diff").write_text("--- a/src/x.c\n+++ b/src/x.c\n@@ -10,3 +10,3 @@\n keep\n-gone ( ) ;\n+new\n-}\n@@ -40 +40 @@\n-last\n")
     lines = textual.read_diffs(spark, str(tmp_path / "d"))
     gone = textual.removed_lines(windows.hunks(lines))
     assert sorted((r.line, r.code) for r in gone.collect()) == [(11, "gone ( ) ;"), (40, "last")]
-    source = spark.createDataFrame([("/a.c", 11, "  gone ( ) ; "), ("/a.c", 12, "gone ( ) ;")], "path string, line int, code string")
-    assert [tuple(r) for r in textual.lines_of_source(gone, source).collect()] == [("/a.c", 11)]
+    rows = [("/old/src/x.c", 11, "  gone ( ) ; "), ("/old/src/x.c", 12, "gone ( ) ;"), ("/old/src/y.c", 11, "gone ( ) ;"), ("/old/osrc/x.c", 40, "last"), ("src/x.c", 40, "last")]
+    source = spark.createDataFrame(rows, "path string, line int, code string")
+    assert sorted(tuple(r) for r in textual.lines_of_source(gone, source).collect()) == [("/old/src/x.c", 11), ("src/x.c", 40)]
 
 
 def test_flaws_and_keywords(spark, tmp_path):
@@ -181,10 +182,10 @@ def test_graph_text_round_trip(spark):
     assert sorted(again.collect()) == sorted(nodes.collect()) and links.first().etype == "REACHES"
 
 
-def test_reports_are_appended(tmp_path):
+def test_reports_are_appended(spark, tmp_path):
     for k in (1, 2):
-        textual.append_report({"f1": k}, str(tmp_path / "r.json"))
-    assert (tmp_path / "r.json").read_text().splitlines() == ['{"f1": 1}', '{"f1": 2}']
+        textual.append_report(spark.range(1).select((F.col("id") + k).alias("f1")), str(tmp_path / "r"))
+    assert sorted(r.f1 for r in spark.read.json(str(tmp_path / "r")).collect()) == [1, 2]
 
 
 def test_streams(spark, tmp_path):

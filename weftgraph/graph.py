@@ -39,6 +39,10 @@ class CodeGraph:
         """
         return latest(self.nodes if where is None else self.nodes.where(where), *columns)
 
+    def node_of(self, pipe: DataFrame, *columns: str) -> DataFrame:
+        """``id`` and the named columns of the nodes in a pipe, one row for each id: others are dropped before the deduplication."""
+        return latest(self.nodes.join(pipe.select("id").distinct(), "id", "left_semi"), *columns)
+
     def edge(self, *kinds: str, columns: tuple[str, ...] = ("src", "dst")) -> DataFrame:
         """The named columns of the edges of these types, each combination once; without types, of all edges."""
         edges = self.edges.where(F.col("etype").isin(*kinds)) if kinds else self.edges

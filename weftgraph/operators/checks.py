@@ -60,9 +60,8 @@ def parameters_matching(g: CodeGraph, pipe: DataFrame, pattern: str) -> DataFram
 
 def api_symbols(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """``(top, symbol)``: names called, and types declared or taken as parameters, in the pipe's trees."""
-    below = pipe.select(F.col("id").alias("top")).join(steps.syntax_closure(g), "top")
     named = g.node("code", where=F.col("type").isin("Callee", "IdentifierDeclType", "Parameter") & F.col("code").isNotNull())
-    return below.join(named, "id").select("top", F.col("code").alias("symbol"))
+    return steps.below(g, pipe).join(named, "id").select("top", F.col("code").alias("symbol"))
 
 
 def longest_uses(g: CodeGraph, pipe: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def conditions(nodes: DataFrame) -> DataFrame:
 
 
 def calls(nodes: DataFrame) -> DataFrame:
-    """Call nodes of a graph with syntax trees; in one without, use ``calls.callees``."""
+    """Call nodes of a graph with syntax trees; in one without, ``slices.text_calls`` finds calls in the text of statements."""
     return by_type(nodes, "CallExpression")
 
 

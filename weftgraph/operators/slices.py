@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from weftgraph.graph import CodeGraph
 from weftgraph.io import cut
 from weftgraph.operators.points import called_names
-from weftgraph.operators.reach import MOST_ROUNDS, reach
+from weftgraph.operators.reach import MOST_ROUNDS, reach, turned
 
 SEPARATOR = "-" * 30
 
 
-def dependence_edges(g: CodeGraph) -> DataFrame:
-    """``(src, dst, var)`` of the dependence graph: data edges with their symbol, control edges with null, each once. Entry nodes stand for their
-    function, exit and error nodes are left out."""
-    edges = g.edge("REACHES", "CONTROLS", columns=("src", "dst", "var"))
+def dependence_edges(g: CodeGraph, *more: str) -> DataFrame:
+    """``(src, dst, var)`` of the dependence graph: data edges with their symbol, control edges with null, each once, and ``more`` columns of theirs.
+    Entry nodes stand for their function, exit and error nodes are left out."""
+    edges = g.edge("REACHES", "CONTROLS", columns=("src", "dst", "var", *more))
     special = g.node("type", "function_id", where=F.col("type").isin("CFGEntryNode", "CFGExitNode", "CFGErrorNode"))
     entry = special.where("type = 'CFGEntryNode'")
     gone = special.where("type <> 'CFGEntryNode'").select("id")
     edges = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     edges = edges.join(entry.select(F.col("id").alias("src"), F.col("function_id").alias("owner")), "src", "left")
-    return edges.select(F.coalesce("owner", "src").alias("src"), "dst", "var").distinct()
+    return edges.select(F.coalesce("owner", "src").alias("src"), "dst", "var", *more).distinct()
 
 
 def flow_edges(g: CodeGraph) -> DataFrame:
@@ -74,8 +74,9 @@ def if_scopes(g: CodeGraph) -> DataFrame:
 def without_back_edges(g: CodeGraph) -> DataFrame:
     """Flow edges to a later place in the text, so that a loop ends where it goes back."""
     place = g.node("start_idx")
-    flow = g.edge("FLOWS_TO").join(place.select(F.col("id").alias("src"), F.col("start_idx").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("start_idx").alias("b")), "dst")
-    return flow.where("b > a").select("src", "dst")
+    flow = g.edge("FLOWS_TO", columns=("src", "dst", "function_id"))
+    flow = flow.join(place.select(F.col("id").alias("src"), F.col("start_idx").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("start_idx").alias("b")), "dst")
+    return flow.where("b > a").select("src", "dst", "function_id")
 
 
 def scopes_of(scopes: DataFrame) -> DataFrame:
@@ -123,13 +124,13 @@ def points_of(slice_points: DataFrame) -> DataFrame:
 
 def backward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``(slice_id, id)``: what the points depend on by data and control, and the points."""
-    edges = dependence_edges(g).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    edges = turned(dependence_edges(g, "function_id"))
     return reach(edges, points.select(F.col("slice_id").alias("root"), "id"), most_hops).select(F.col("root").alias("slice_id"), "id")
 
 
 def forward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None) -> DataFrame:
     """``(slice_id, id)``: what depends on the points by data, and the points."""
-    edges = without_control(dependence_edges(g)).select("src", "dst")
+    edges = without_control(dependence_edges(g, "function_id")).select("src", "dst", "function_id")
     return reach(edges, points.select(F.col("slice_id").alias("root"), "id"), most_hops).select(F.col("root").alias("slice_id"), "id")
 
 

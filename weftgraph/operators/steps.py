@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import CodeGraph
-from weftgraph.operators.reach import closure
+from weftgraph.operators.reach import closure, reach, turned
 
 
 def out(g: CodeGraph, pipe: DataFrame, kind: str, key: str | None = None, values=None) -> DataFrame:
@@ -102,30 +102,46 @@ def sinks(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 
 def syntax_closure(g: CodeGraph) -> DataFrame:
-    """``(top, id)``: each node of a tree with all nodes below it and itself: as many rows as nodes times their depth."""
+    """``(top, id)``: each node of a tree with all nodes below it and itself: as many rows as nodes times their depth. Of some nodes alone take
+    ``below``."""
     tree = g.edge("IS_AST_PARENT")
-    ids = tree.select(F.col("src").alias("id")).unionByName(tree.select(F.col("dst").alias("id"))).distinct()
+    ids = tree.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     pairs = closure(tree.select("src", "dst"))
     return pairs.select(F.col("src").alias("top"), F.col("dst").alias("id")).unionByName(ids.select(F.col("id").alias("top"), "id"))
 
 
+def _tree(g: CodeGraph) -> DataFrame:
+    return g.edge("IS_AST_PARENT", columns=("src", "dst", "function_id"))
+
+
+def below(g: CodeGraph, pipe: DataFrame) -> DataFrame:
+    """``(top, id)``: what stands in the trees of the pipe's nodes, themselves among them. Only these trees are searched."""
+    return reach(_tree(g), pipe.select(F.col("id").alias("root"), "id")).select(F.col("root").alias("top"), "id")
+
+
+def above(g: CodeGraph, pipe: DataFrame) -> DataFrame:
+    """``(id, top, hops)``: what stands above the pipe's nodes, themselves among them, and how many steps up."""
+    return reach(turned(_tree(g)), pipe.select(F.col("id").alias("root"), "id")).select(F.col("root").alias("id"), F.col("id").alias("top"), "hops")
+
+
 def match(g: CodeGraph, pipe: DataFrame, predicate: Column, *columns: str) -> DataFrame:
     """Nodes of the pipe's trees, themselves among them, that meet the predicate on the named node columns."""
-    below = pipe.select(F.col("id").alias("top")).join(syntax_closure(g), "top").select("id")
-    return below.join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
+    return below(g, pipe).select("id").join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
 
 
 def match_parents(g: CodeGraph, pipe: DataFrame, predicate: Column, *columns: str) -> DataFrame:
-    """Nodes above the pipe's that meet the predicate, themselves among them."""
-    above = pipe.select("id").join(syntax_closure(g), "id").select(F.col("top").alias("id"))
-    return above.join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
+    """Nodes above the pipe's that meet the predicate, themselves among them, up to the nearest statement at or above each; without a statement above,
+    all of them."""
+    up = above(g, pipe)
+    stop = up.join(g.node(where="is_cfg").withColumnRenamed("id", "top"), "top", "left_semi").groupBy("id").agg(F.min("hops").alias("last"))
+    within = up.join(stop, "id", "left").where("last is null or hops <= last").select(F.col("top").alias("id"))
+    return within.join(g.node(*columns, where=predicate).select("id"), "id", "left_semi")
 
 
 def statement_of(g: CodeGraph, pipe: DataFrame) -> DataFrame:
-    """``(id, statement)``: the nearest node of the control flow graph at or above each node."""
-    up = pipe.select("id").join(syntax_closure(g), "id")
-    span = g.node("is_cfg", "start_idx", "stop_idx", where="is_cfg").select(F.col("id").alias("top"), (F.col("stop_idx") - F.col("start_idx")).alias("size"))
-    return up.join(span, "top").groupBy("id").agg(F.min(F.struct("size", "top")).getField("top").alias("statement"))
+    """``(id, statement)``: the nearest node of the control flow graph at or above each node, ties by id."""
+    up = above(g, pipe).join(g.node(where="is_cfg").withColumnRenamed("id", "top"), "top", "left_semi")
+    return up.groupBy("id").agg(F.min(F.struct("hops", "top")).getField("top").alias("statement"))
 
 
 def call_to_arguments(g: CodeGraph, pipe: DataFrame) -> DataFrame:
@@ -159,13 +175,13 @@ def parameter_parts(g: CodeGraph, pipe: DataFrame, kind: str) -> DataFrame:
 
 def to_exit(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """The exit node of each node's function."""
-    owner = pipe.select("id").join(g.node("function_id"), "id").select("function_id")
-    return owner.join(g.node("type", "function_id", where="type = 'CFGExitNode'"), "function_id").select("id")
+    owner = pipe.select("id").join(g.node_of(pipe, "function_id"), "id").select("function_id")
+    return owner.join(g.node("type", "function_id", where="type = 'CFGExitNode'").select("id", "function_id"), "function_id").select("id")
 
 
 def functions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """The function of each node."""
-    return pipe.select("id").join(g.node("function_id"), "id").where("function_id is not null").select(F.col("function_id").alias("id"))
+    return pipe.select("id").join(g.node_of(pipe, "function_id"), "id").where("function_id is not null").select(F.col("function_id").alias("id"))
 
 
 def function_nodes(g: CodeGraph, pipe: DataFrame, kind: str | None = None, statements_only: bool = False) -> DataFrame:
@@ -177,23 +193,27 @@ def function_nodes(g: CodeGraph, pipe: DataFrame, kind: str | None = None, state
 
 
 def function_to_callers(g: CodeGraph, pipe: DataFrame) -> DataFrame:
-    """Callee nodes that name the pipe's functions."""
-    names = pipe.select("id").join(g.node("name"), "id").select(F.col("name").alias("code"))
-    return names.join(g.node("type", "code", where="type = 'Callee'"), "code").select("id")
+    """Callee nodes that name the pipe's functions, within their own test case; functions and calls without one go together."""
+    names = pipe.select("id").join(g.node_of(pipe, "name", "test_id"), "id").select(F.col("name").alias("code"), F.coalesce("test_id", F.lit("")).alias("case"))
+    callees = g.node("type", "code", "test_id", where="type = 'Callee'").select("id", "code", F.coalesce("test_id", F.lit("")).alias("case"))
+    return names.join(callees, ["code", "case"]).select("id")
 
 
 def locations(g: CodeGraph, pipe: DataFrame) -> DataFrame:
     """``(id, code, function, filepath)``."""
-    nodes = g.node("code", "function_id", "filepath")
+    nodes = g.node_of(pipe, "code", "function_id", "filepath")
     names = g.node("type", "name", where="type = 'Function'").select(F.col("id").alias("function_id"), F.col("name").alias("function"))
     return pipe.select("id").join(nodes, "id").join(names, "function_id", "left").select("id", "code", "function", "filepath")
 
 
 def visible(g: CodeGraph, pipe: DataFrame) -> DataFrame:
-    """Nodes that are hidden neither themselves nor by their function."""
-    hidden = g.node("hidden", where="hidden").select("id")
-    placed = pipe.select("id").join(g.node("function_id"), "id", "left").join(hidden, "id", "left_anti")
-    return placed.join(hidden.withColumnRenamed("id", "function_id"), "function_id", "left_anti").select("id")
+    """Nodes that are hidden neither themselves nor by their function nor by their file: a file is hidden if its node, of type File, is."""
+    hidden = g.node("type", "filepath", where="hidden")
+    gone = hidden.select("id")
+    files = hidden.where("type = 'File' and filepath is not null").select("filepath").distinct()
+    placed = pipe.select("id").join(g.node_of(pipe, "function_id", "filepath"), "id", "left").join(gone, "id", "left_anti")
+    placed = placed.join(gone.withColumnRenamed("id", "function_id"), "function_id", "left_anti")
+    return placed.join(files, "filepath", "left_anti").select("id")
 
 
 def degree(g: CodeGraph, *kinds: str) -> DataFrame:

@@ -14,17 +14,18 @@ def unsanitized_paths(g: CodeGraph, starts: DataFrame, targets: DataFrame, sanit
     """``(start, end, var, path)``: a control flow path on which a definition gets to its use, not defined again and not sanitised.
 
     ``starts`` and ``targets`` are pipes; a pair is looked at where a definition of ``var`` at the start reaches the target. ``sanitizer`` is a
-    predicate on the code of a statement. A target that defines the symbol itself, or is a sanitiser, ends no path; a start may be either.
+    predicate on the code of a statement. A target that defines the symbol itself, or is a sanitiser, ends no path; a start may be either. Only definitions and sanitisers of the start's own function count.
     """
     reaches = g.edge("REACHES", columns=("src", "dst", "var")).where("var is not null")
     pairs = reaches.join(starts.select(F.col("id").alias("src")).distinct(), "src", "left_semi").join(targets.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi")
-    defining = reaches.select(F.col("src").alias("id"), "var").distinct()
+    owner = g.node("function_id", where="function_id is not null")
+    defining = reaches.select(F.col("src").alias("id"), "var").distinct().join(owner, "id")
     # A start and a symbol are one root of the search, for another symbol has other ends and stops.
     roots = pairs.select(F.xxhash64("src", "var").alias("root"), "src", "var").distinct()
-    stops = roots.join(defining, "var").where("id <> src").select(F.col("root").alias("start"), "id")
+    of_root = roots.join(owner.withColumnRenamed("id", "src"), "src")
+    stops = of_root.join(defining, ["function_id", "var"]).where("id <> src").select(F.col("root").alias("start"), "id")
     if sanitizer is not None:
         clean = g.node("code", "function_id", where=sanitizer).select("id", "function_id")
-        of_root = roots.join(g.node("function_id").withColumnRenamed("id", "src"), "src").select("root", "src", "function_id")
         stops = stops.unionByName(of_root.join(clean, "function_id").where("id <> src").select(F.col("root").alias("start"), "id"))
     entry = roots.select(F.col("root").alias("src"), F.col("src").alias("dst"))
     edges = g.edge("FLOWS_TO").unionByName(entry)
@@ -34,9 +35,9 @@ def unsanitized_paths(g: CodeGraph, starts: DataFrame, targets: DataFrame, sanit
     return named.select(F.col("src").alias("start"), "end", "var", F.slice("path", 2, F.size("path")).alias("path"))
 
 
-def controlling_conditions(g: CodeGraph, pipe: DataFrame, order: int = 1) -> DataFrame:
-    """``(root, id)``: conditions that control the pipe's nodes within ``order`` steps."""
-    return hops(g.edge("CONTROLS"), pipe, order, F.lit(True), g.node("type", where="type = 'Condition'"))
+def controlling_conditions(g: CodeGraph, pipe: DataFrame, order: int | None = 1) -> DataFrame:
+    """``(root, id)``: conditions that control the pipe's nodes within ``order`` steps, or at any distance."""
+    return hops(g.edge("CONTROLS", columns=("src", "dst", "function_id")), pipe, order, F.lit(True), g.node("type", where="type = 'Condition'"))
 
 
 def sub_conditions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
@@ -47,20 +48,22 @@ def sub_conditions(g: CodeGraph, pipe: DataFrame) -> DataFrame:
 
 
 def argument_links(g: CodeGraph) -> DataFrame:
-    """``(argument, parameter)``: arguments and the parameters they become, by name of the callee and place, where their numbers agree."""
+    """``(argument, parameter)``: arguments and the parameters they become, by name of the callee within its test case and by place, where their numbers
+    agree. Calls and functions without a test case go together."""
     kinds = ["Callee", "ArgumentList", "Argument", "Function", "Parameter"]
-    nodes = g.node("type", "code", "name", "child_num", "function_id", where=F.col("type").isin(kinds))
+    nodes = g.node("type", "code", "name", "child_num", "function_id", "test_id", where=F.col("type").isin(kinds))
+    nodes = nodes.withColumn("case", F.coalesce("test_id", F.lit("")))
     tree = g.edge("IS_AST_PARENT")
     child = lambda top, kind, key: tree.select(F.col("src").alias(top), F.col("dst").alias("id")).join(nodes.where(F.col("type") == kind), "id").withColumnRenamed("id", key)
-    callee = child("call", "Callee", "callee").select("call", F.element_at(F.split("code", " "), -1).alias("name"))
+    callee = child("call", "Callee", "callee").select("call", "case", F.element_at(F.split("code", " "), -1).alias("name"))
     lists = child("call", "ArgumentList", "list").select("call", "list")
     args = child("list", "Argument", "argument").select("list", "argument", F.col("child_num").alias("place"))
     args = args.join(lists, "list").select("call", "argument", "place")
     n_args = args.groupBy("call").agg(F.count(F.lit(1)).alias("n"))
-    functions = nodes.where("type = 'Function'").select(F.col("id").alias("function_id"), "name")
+    functions = nodes.where("type = 'Function'").select(F.col("id").alias("function_id"), "name", "case")
     params = nodes.where("type = 'Parameter'").select(F.col("id").alias("parameter"), "function_id", F.col("child_num").alias("place"))
     n_params = params.groupBy("function_id").agg(F.count(F.lit(1)).alias("n"))
-    resolved = callee.join(functions, "name").join(n_args, "call").join(n_params, ["function_id", "n"]).select("call", "function_id")
+    resolved = callee.join(functions, ["name", "case"]).join(n_args, "call").join(n_params, ["function_id", "n"]).select("call", "function_id")
     return args.join(resolved, "call").join(params, ["function_id", "place"]).select("argument", "parameter")
 
 
@@ -113,11 +116,11 @@ def tainted_arguments(g: CodeGraph, callee: str, source: str, loops: int = 4) ->
 
 
 def unchecked(g: CodeGraph, pipe: DataFrame, symbol: str, check: str) -> DataFrame:
-    """Nodes of the pipe that no condition whose whole code matches ``check`` controls; ``%s`` in it stands for the symbol, quoted."""
+    """Nodes of the pipe that no condition whose whole code matches ``check`` controls, at any distance; ``%s`` in it stands for the symbol, quoted."""
     import re
 
     pattern = lookup.whole(check.replace("%s", re.escape(symbol)))
-    checked = controlling_conditions(g, pipe, 8).join(g.node("code", where=F.col("code").rlike(pattern)).select("id"), "id", "left_semi")
+    checked = controlling_conditions(g, pipe, None).join(g.node("code", where=F.col("code").rlike(pattern)).select("id"), "id", "left_semi")
     return pipe.join(checked.select(F.col("root").alias("id")), "id", "left_anti")
 
 

@@ -1,12 +1,11 @@
 """Code property graphs of many files: one pass over the files, each parsed on its own.
 
-The rows of a file depend on its path and text alone: ids are made of a hash of the path and a running number. A function that can't be analysed
-gives one ``Function`` node of type ``Corrupt`` instead of failing the job.
+Ids are made of the number of the file and a running number within it, so that no two nodes share one. Files are numbered in order of their paths
+unless they bring a number. A function that can't be analysed gives one ``Function`` node of type ``Corrupt`` instead of failing the job.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 from fnmatch import fnmatch
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import numbered_rows
+from weftgraph.io import cut
 from weftgraph.parse import flow
 from weftgraph.parse.lexer import Token
 from weftgraph.parse.syntax import Node, parse
@@ -25,21 +26,27 @@ SOURCE_FILES = ["*.c", "*.cpp", "*.h", "*.cc", "*.hpp", "*.java"]
 
 _NODE = [x.strip().split(" ")[0] for x in NODES.split(",")]
 _EDGE = [x.strip().split(" ")[0] for x in EDGES.split(",")]
+#: Bits of an id that number the rows of a file; the others number the files.
+ROW_BITS = 32
 ROW = "kind string, " + NODES + ", " + ", ".join(f"e_{x.strip()}" for x in EDGES.split(","))
 
 
 class FileGraph:
     """Rows of one file."""
 
-    def __init__(self, path: str, test_id: str | None, tainted: dict[str, set[int]]) -> None:
+    def __init__(self, path: str, test_id: str | None, tainted: dict[str, set[int]], file_no: int) -> None:
         self.path, self.test_id, self.tainted = path, test_id, tainted
-        self.base = int.from_bytes(hashlib.blake2b(path.encode(), digest_size=8).digest(), "big") >> 25 << 24
+        if not 0 <= file_no < 1 << (63 - ROW_BITS):
+            raise ValueError(f"{file_no} is no number of a file")
+        self.base = file_no << ROW_BITS
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
         self.ids: dict[int, int] = {}
 
     def node(self, kind: str, **values) -> int:
         k = self.base + len(self.nodes)
+        if len(self.nodes) >> ROW_BITS:
+            raise OverflowError(f"{self.path} has too many nodes")
         self.nodes.append(dict.fromkeys(_NODE) | {"id": k, "type": kind, "filepath": self.path, "test_id": self.test_id} | values)
         return k
 
@@ -133,9 +140,9 @@ class FileGraph:
                     self.edge(k, made, "DECLARES")
 
 
-def graph_rows(path: str, text: str, test_id: str | None = None, tainted: dict[str, set[int]] | None = None) -> FileGraph:
+def graph_rows(path: str, text: str, test_id: str | None = None, tainted: dict[str, set[int]] | None = None, file_no: int = 0) -> FileGraph:
     """The graph of one file, in memory."""
-    g = FileGraph(path, test_id, tainted or {})
+    g = FileGraph(path, test_id, tainted or {}, file_no)
     g.file(text)
     return g
 
@@ -150,8 +157,8 @@ def _run(tainted: dict[str, list[int]]):
         schema = _arrow()
         for b in batches:
             cols = b.to_pydict()
-            for path, text, test_id in zip(cols["path"], cols["text"], cols["test_id"]):
-                g = graph_rows(path, text or "", test_id, marks)
+            for path, text, test_id, file_no in zip(cols["path"], cols["text"], cols["test_id"], cols["file_no"]):
+                g = graph_rows(path, text or "", test_id, marks, file_no)
                 n, e = len(g.nodes), len(g.edges)
                 columns = [["node"] * n + ["edge"] * e]
                 columns += [[r[k] for r in g.nodes] + [None] * e for k in _NODE] + [[None] * n + [r[k] for r in g.edges] for k in _EDGE]
@@ -165,16 +172,39 @@ def _arrow() -> pa.Schema:
     return pa.schema([(x.strip().split(" ")[0], kinds[x.strip().split(" ")[1]]) for x in ROW.split(",")])
 
 
+def numbered_files(files: DataFrame, first: int = 0) -> DataFrame:
+    """``files`` with ``file_no``, numbered from ``first`` in order of their paths; a path has one number wherever it occurs."""
+    numbers = numbered_rows(files.select("path").where("path is not null").distinct(), "path")
+    return files.join(numbers.select("path", (F.col("no") - 1 + first).alias("file_no")), "path")
+
+
+def graph_table(files: DataFrame, tainted: dict[str, list[int]] | None = None) -> DataFrame:
+    """Nodes and edges of ``files(path, text, file_no)`` in one table, told apart by ``kind``, so that each file is parsed once for both."""
+    test_id = F.col("test_id") if "test_id" in files.columns else F.lit(None).cast("string")
+    rows = files.select("path", "text", test_id.alias("test_id"), F.col("file_no").cast("long").alias("file_no"))
+    return rows.mapInArrow(_run(json.loads(json.dumps(tainted or {}))), ROW)
+
+
+def nodes_and_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two tables of a graph out of the one that holds both."""
+    return rows.where("kind = 'node'").select(*_NODE), rows.where("kind = 'edge'").select(*(F.col(f"e_{x}").alias(x) for x in _EDGE))
+
+
 def build_graph(files: DataFrame, tainted: dict[str, list[int]] | None = None) -> tuple[DataFrame, DataFrame]:
     """``nodes`` and ``edges`` of ``files(path, text)``, with ``test_id`` if the files have one.
 
-    ``tainted`` names the arguments that callees define, by number from 0. Null texts are empty files; every path should occur once.
+    ``tainted`` names the arguments that callees define, by number from 0. Null texts are empty files, rows without a path none; a path that occurs
+    twice is an error. A column ``file_no`` numbers the files, as when a graph is added to another; without it they are numbered here. Files are
+    parsed once: their rows lie in the shared folder from then on.
     """
-    test_id = F.col("test_id") if "test_id" in files.columns else F.lit(None).cast("string")
-    rows = files.select("path", "text", test_id.alias("test_id")).mapInArrow(_run(json.loads(json.dumps(tainted or {}))), ROW)
-    nodes = rows.where("kind = 'node'").select(*_NODE)
-    edges = rows.where("kind = 'edge'").select(*(F.col(f"e_{x}").alias(x) for x in _EDGE))
-    return nodes, edges
+    given = files.where("path is not null")
+    if "file_no" not in files.columns:
+        if not given.groupBy("path").count().where("count > 1").isEmpty():
+            raise ValueError("a path occurs twice")
+        given = numbered_files(given)
+    elif not given.groupBy("file_no").count().where("count > 1").isEmpty():
+        raise ValueError("a number of a file occurs twice")
+    return nodes_and_edges(cut(graph_table(given, tainted)))
 
 
 def is_source(path: str, patterns: list[str] | None = None) -> bool:

@@ -236,7 +236,9 @@ class UseDef:
             self._emit(kids[0], left, False)
             return ["* " + s for s in left] + [n.code]
         if kind == "MemberAccess":
-            return self.symbols(kids[0]) + [n.code] if kids[0].type != "Identifier" else [n.code]
+            base = self.symbols(kids[0])
+            self._emit(kids[0], base, False)
+            return [*base, n.code]
         if kind == "ArrayIndexing":
             out = []
             for c in kids:

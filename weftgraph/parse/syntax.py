@@ -306,6 +306,12 @@ class Parser:
 
     def declaration(self) -> Node:
         """``type name [= e], ...;`` as an IdentifierDeclStatement."""
+        first = self.at
+        decls = self._declarators()
+        self.take(";")
+        return self.node("IdentifierDeclStatement", first, *decls)
+
+    def _declarators(self) -> list[Node]:
         first = self.at
         self._type_name()
         base = (first, self.at)
@@ -347,11 +353,9 @@ class Parser:
             elif self.peek() == ":" and self.kind(1) == "number":
                 self.at += 2
             decls.append(Node("IdentifierDecl", begin if decls else at, self.at, kids))
-            if self.peek() != ",":
-                break
+            if self.at >= self.end or self.peek() != ",":
+                return decls
             self.take()
-        self.take(";")
-        return self.node("IdentifierDeclStatement", first, *decls)
 
     # ---- statements
 
@@ -394,24 +398,12 @@ class Parser:
             self.end = stop
 
     def _bare_declaration(self) -> Node:
-        """A declaration without its semicolon, as in the head of a loop."""
+        """A declaration without its semicolon, as in the head of a loop, up to where the head ends."""
         first = self.at
-        self._type_name()
-        kind = Node("IdentifierDeclType", first, self.at)
-        while self.peek() in ("*", "&"):
-            self.take()
-        if not self.name():
-            raise Unparsable("declarator")
-        at = self.at
-        self.take()
-        ident = Node("Identifier", at, self.at)
-        kids = [kind, ident]
-        if self.peek() == "=":
-            self.take()
-            value = self.assignment()
-            kids.append(Node("AssignmentExpr", at, self.at, [ident, value], "="))
-        decl = Node("IdentifierDecl", at, self.at, kids)
-        return self.node("IdentifierDeclStatement", first, decl)
+        decls = self._declarators()
+        if self.at != self.end:
+            raise Unparsable("declaration")
+        return self.node("IdentifierDeclStatement", first, *decls)
 
     def statement(self) -> Node:
         first, t = self.at, self.peek()
@@ -563,7 +555,10 @@ class Parser:
                 except Unparsable:
                     self.at = begin
                 self.at = begin
-                return self.expression()
+                found = self.expression()
+                if self.at != high:
+                    raise Unparsable("head of a loop")
+                return found
 
             try:
                 inner = [self._within(low, high, inside)]

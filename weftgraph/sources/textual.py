@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +33,33 @@ def read_diffs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def removed_lines(hunks: DataFrame) -> DataFrame:
-    """``(file, hunk, line, code)``: what diffs take away, with its line number in the old file; blank lines and lone brackets don't count.
+    """``(file, path, hunk, line, code)``: what diffs take away, with its line number in the old file; blank lines and lone brackets don't count.
 
-    ``hunks(file, pos, value, hunk, place)`` comes from ``windows.hunks``.
+    ``hunks(file, pos, value, hunk, place)`` comes from ``windows.hunks``. ``path`` is that of the old file, as the line ``---`` above names it without
+    a leading ``a/``; where there is none, the name of the diff without its ending.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("file", "hunk").orderBy("pos")
     start = F.regexp_extract("value", r"^@@ -(\d+)", 1)
     first = F.max(F.when(start != "", start.cast("int"))).over(Window.partitionBy("file", "hunk"))
-    old = F.sum(F.when(F.startswith("value", F.lit("@@")) | F.startswith("value", F.lit("+")), 0).otherwise(1)).over(w)
-    rows = hunks.where("hunk > 0").withColumns({"line": first + old - 1, "code": F.trim(F.substring("value", 2, 1_000_000))})
-    gone = rows.where(F.startswith("value", F.lit("-")) & ~F.startswith("value", F.lit("---")))
-    return gone.where(~F.col("code").isin("", ",", ";", "{", "}")).select("file", "hunk", "line", "code")
+    skip = F.startswith("value", F.lit("@@")) | F.startswith("value", F.lit("+")) | F.startswith("value", F.lit("\\"))
+    old = F.sum(F.when(skip, 0).otherwise(1)).over(w)
+    named = F.regexp_extract("value", r"^--- (?:a/)?([^\t\r\n]+)", 1)
+    above = F.last(F.when(named != "", F.trim(named)), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))
+    path = F.coalesce(above, F.regexp_replace(F.substring_index("file", "/", -1), r"\.(diff|patch|txt)$", ""))
+    rows = hunks.withColumn("path", path).where("hunk > 0").withColumns({"line": first + old - 1, "code": F.trim(F.expr("substring(value, 2)"))})
+    gone = rows.where(F.startswith("value", F.lit("-")) & (named == ""))
+    return gone.where(~F.col("code").isin("", ",", ";", "{", "}")).select("file", "path", "hunk", "line", "code")
 
 
 def lines_of_source(removed: DataFrame, source: DataFrame) -> DataFrame:
-    """``(path, line)``: removed lines that stand in ``source(path, line, code)`` with the same number and, apart from outer blanks, the same text."""
+    """``(path, line)``: removed lines that stand in ``source(path, line, code)`` in the same file with the same number and, apart from outer blanks,
+    the same text. The path of a source may have folders in front of that of the diff."""
     here = source.select("path", "line", F.trim("code").alias("code"))
-    return here.join(removed.select("line", "code").distinct(), ["line", "code"], "left_semi").select("path", "line")
+    gone = removed.select(F.col("path").alias("old"), F.col("line").alias("at"), F.col("code").alias("text")).distinct()
+    same_file = (F.col("path") == F.col("old")) | F.endswith("path", F.concat(F.lit("/"), "old"))
+    return here.join(gone, (F.col("line") == F.col("at")) & (F.col("code") == F.col("text")) & same_file, "left_semi").select("path", "line")
 
 
 def flaws(lines: DataFrame) -> DataFrame:
@@ -103,7 +109,6 @@ def from_graph_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def append_report(metrics: dict, path: str) -> None:
-    """One JSON line behind those that are there."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(metrics, sort_keys=True) + "\n")
+def append_report(metrics: DataFrame, folder: str) -> None:
+    """Rows of metrics as JSON lines beside those that are there, on whatever file system the folder names."""
+    metrics.write.mode("append").json(folder)

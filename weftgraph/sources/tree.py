@@ -14,11 +14,11 @@ def test_case_of(path: Column) -> Column:
 
 
 def read_sources(spark: SparkSession, root: str, patterns: list[str] | None = None, ordered: bool = False) -> DataFrame:
-    """``(path, text, test_id)`` of the source files below ``root``; files that are empty or can't be read are passed over.
+    """``(path, text, test_id)`` of the source files below ``root``; files that vanish or can't be read are passed over.
     ``ordered`` sorts by path."""
     globs = "{" + ",".join(patterns or SOURCE_FILES) + "}"
-    spark.conf.set("spark.sql.files.ignoreMissingFiles", "true")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs)
+    files = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     out = files.select(path.alias("path"), F.col("content").cast("string").alias("text"), test_case_of(path).alias("test_id"))
     return out.orderBy("path") if ordered else out
