@@ -3,13 +3,14 @@
 import random
 import re
 from datetime import datetime
-from itertools import combinations
+from itertools import combinations, product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm import p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p7_ids, p8_eval, p9_subjects, setjoin
+from weftgraph.llm import common, p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p7_ids, p8_eval, p9_subjects, setjoin
 
 
 def word_set(code):
@@ -56,41 +57,64 @@ def test_pairs_do_not_depend_on_blocks(nodes, monkeypatch):
     assert expanded == want
 
 
-def test_a_hot_column_is_cut_into_blocks():
+class Shared:
+    """What a broadcast variable holds, without a cluster."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def multiplied(sets, height, bits=10):
+    """The pairs that the blocks of some sets give, every column being as high as told."""
     import numpy as np
     import pyarrow as pa
 
-    class Counts:
-        value = np.full(1 << 10, 3 * setjoin.BLOCK_ROWS, dtype=np.uint32)
+    keys = np.unique(np.concatenate([np.array(s, np.int64) for s in sets.values()]))
+    hot = Shared((keys, np.full(len(keys), height)))
+    given = [pa.array(list(sets)), pa.array([sorted(s) for s in sets.values()], pa.list_(pa.int64())), pa.array([3] * len(sets), pa.int8())]
+    made = setjoin._entries(Shared(np.full(1 << bits, 2, np.uint32)), 3, 5, hot)([pa.RecordBatch.from_arrays(given, ["sid", "h", "side"])])
+    entries = pa.Table.from_batches(list(made)).sort_by([("key", "ascending"), ("block", "ascending"), ("n", "ascending")]).combine_chunks()
+    found = {frozenset(p.values()) for b in setjoin._multiply(3, 5, True)(iter(entries.to_batches())) for p in b.to_pylist()}
+    return found, len(set(entries.column("block").to_pylist())), entries.num_rows
 
-    rng = np.random.default_rng(1)
-    common = rng.integers(-(2**62), 2**62, 22)
-    sets = [np.sort(np.append(common, rng.integers(-(2**62), 2**62, 2))) for _ in range(60)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array([s.tolist() for s in sets]), pa.array([3] * 60, pa.int8())], ["sid", "h", "side"])
-    entries = pa.Table.from_batches(list(setjoin._entries(Counts, 3, 5)(iter([batch])))).to_pandas().sort_values(["key", "block", "n"])
-    assert entries["block"].nunique() > 4
-    found = pa.Table.from_batches(list(setjoin._multiply(3, 5, True)(iter([pa.RecordBatch.from_pandas(entries, preserve_index=False)])))).to_pandas()
-    pairs = {(min(a, b), max(a, b)) for a, b in zip(found["a"], found["b"])}
-    assert pairs == set(combinations(range(60), 2))
 
+def test_a_hot_column_is_cut_into_blocks():
+    rng = random.Random(1)
+    common = [rng.randrange(-(2**62), 2**62) for _ in range(22)]
+    sets = {i: common + [rng.randrange(-(2**62), 2**62) for _ in range(2)] for i in range(60)}
+    found, blocks, _ = multiplied(sets, 3 * setjoin.BLOCK_ROWS)
+    assert blocks > 4 and found == {frozenset(p) for p in combinations(range(60), 2)}
 
-@pytest.mark.parametrize("count", [4_000_000, 4_194_303, 4_194_304, 5_000_000])
-def test_pairs_of_columns_beyond_the_clipped_count(count):
-    import numpy as np
-    import pyarrow as pa
 
+@pytest.mark.parametrize("height", [3, 4_000_000, 4_194_303, 4_194_304, 5_000_000, 40_000_000])
+def test_pairs_of_columns_of_any_height(height):
     rng = random.Random(3)
-    sets = {1024 * i: sorted(rng.sample(range(1 << 40, 1 << 62, (1 << 62) // 10), 8)) for i in range(1, 13)}  # all in one block of 1024
+    sets = {1024 * i + 7: rng.sample(range(1 << 40, 1 << 62, (1 << 62) // 10), 8) for i in range(1, 13)}  # all in one block of 1024
+    want = {frozenset((x, y)) for x, y in combinations(sets, 2) if 5 * len({*sets[x]} & {*sets[y]}) >= 3 * len({*sets[x]} | {*sets[y]})}
+    assert want and want <= multiplied(sets, height)[0]
 
-    class Counts:
-        value = np.array([count], np.uint32)
 
-    given = [pa.array(sets), pa.array(sets.values(), pa.list_(pa.int64())), pa.array([3] * len(sets), pa.int8())]
-    (entries,) = setjoin._entries(Counts, 3, 5)([pa.RecordBatch.from_arrays(given, ["sid", "h", "side"])])
-    order = pa.Table.from_batches([entries]).sort_by([("key", "ascending"), ("block", "ascending"), ("n", "ascending")]).combine_chunks().to_batches()
-    got = {frozenset(p.values()) for b in setjoin._multiply(3, 5, True)(order) for p in b.to_pylist()}
-    want = {frozenset((x, y)) for x, y in combinations(sets, 2) if 5 * len({*sets[x]} & {*sets[y]}) >= 3 * len({*sets[x]} | {*sets[y]})}
-    assert want and want <= got
+@pytest.mark.parametrize("most_hot", [1_000_000, 0])
+def test_columns_are_cut_by_their_exact_heights(nodes, monkeypatch, most_hot):
+    rows = mixed_rows(7, 120)
+    want = {tuple(r) for r in p1_near.similar_pairs(nodes(rows)).collect()}
+    monkeypatch.setattr(setjoin, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(setjoin, "MOST_HOT", most_hot)
+    monkeypatch.setattr(setjoin, "SKETCH_BITS", 6)  # every counter is full
+    assert {tuple(r) for r in p1_near.similar_pairs(nodes(rows)).collect()} == want
+
+
+def test_sketch_counts_all_entries(spark):
+    rows = [([1, 2, 1 << 22, -1],), ([1, -1, 3 << 30],), ([],)]
+    counts = setjoin.sketch(spark.createDataFrame(rows, "h array<long>"))
+    assert len(counts) == 1 << 22 and counts.sum() == 7 and counts[1] == 2 and counts[0] == 2 and counts[(1 << 22) - 1] == 2
+
+
+def test_members_of_a_large_set_stand_in_parts(nodes, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(25))) for i in range(40)] + [(100 + i, " ".join(f"w{j}" for j in range(1, 27))) for i in range(9)]
+    monkeypatch.setattr(p1_near, "PART_ROWS", 4)
+    got = [tuple(r) for r in p1_near.similar_pairs(nodes(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(sorted(r[0] for r in rows), 2))
 
 
 def test_classes_have_one_row_for_each_record(nodes):
@@ -162,6 +186,23 @@ def test_pieces_of_records(nodes):
 # ---- leaks
 
 
+def slow_chain(x, y, least):
+    """The best chain of runs of at least so many equal words, tried pair by pair."""
+    runs = []
+    for i in range(len(x)):
+        for j in range(len(y)):
+            if x[i] == y[j] and not (i and j and x[i - 1] == y[j - 1]):
+                n = 0
+                while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+                    n += 1
+                runs += [(i, j, n)] if n >= least else []
+    best = []
+    for a, b, n in sorted(runs):
+        before = max((c - cut for e, f, c in best if (cut := max(0, e - a, f - b)) < n), default=0)
+        best.append((a + n, b + n, max(before, 0) + n))
+    return max((c for *_, c in best), default=0)
+
+
 def test_leaks_are_those_of_brute_force(spark, nodes):
     rows = mixed_rows()
     splits = spark.createDataFrame(
@@ -196,18 +237,29 @@ def test_coverage_is_that_of_the_closest_record(spark, nodes):
     seq = {i: code.split(" ") for i, code, _ in rows}
     sets = {i: word_set(code) for i, code, _ in rows}
     pairs = [(i, j) for i, _, c in rows for j, _, d in rows if c == "h1" and d == "t1" and similar(sets[i], sets[j])]
-    chained = p3_leaks.chained  # in the workers, whose hashes of strings are their own
-    tried = spark.sparkContext.parallelize(pairs, 4).map(lambda p: (p[0], -chained(seq[p[0]], seq[p[1]]), p[1])).collect()
+    codes = {w: i for i, w in enumerate({w for ws in seq.values() for w in ws})}
+    words_of = {i: np.array([codes[w] for w in ws]) for i, ws in seq.items()}
+    fast = {(i, j): p3_leaks.chained(words_of[i], words_of[j]) for i, j in pairs[:300]}
+    sure = p3_leaks.K + p3_leaks.WINDOW - 1
+    assert all(slow_chain(seq[i], seq[j], sure) <= n <= slow_chain(seq[i], seq[j], p3_leaks.K) for (i, j), n in fast.items())
+    hashed = spark.createDataFrame(sorted(seq.items()), "id long, w array<string>").selectExpr("id", "transform(w, x -> xxhash64(x)) AS h").collect()
+    hashed = {r.id: np.array(r.h) for r in hashed}
+    tried = [(i, -p3_leaks.chained(hashed[i], hashed[j]), j) for i, j in pairs]
     want = {i: min((n, j) for k, n, j in tried if k == i) for i, _, _ in tried}
     got = {r.node_id: (-r.n_covered, r.train_id) for r in p3_leaks.coverage(nodes(rows), cases, splits).collect()}
     assert len(want) > 100 and got == want
 
 
 def test_chains_follow_both_texts():
+    def chained(x, y):
+        codes = {w: i * 7919 for i, w in enumerate(dict.fromkeys(x + y))}
+        return p3_leaks.chained(*(np.array([codes[w] for w in t], np.int64) for t in (x, y)))
+
     a = "the quick brown fox jumps over the lazy dog and runs far away".split()
-    assert p3_leaks.chained(a, a) == len(a)
-    assert p3_leaks.chained(a, a[:6] + ["x", "y"] + a[6:]) == len(a)
-    assert p3_leaks.chained(a, [w + "s" for w in a]) == 0 and p3_leaks.chained([], a) == 0
+    assert chained(a, a) == len(a)
+    assert chained(a, a[:6] + ["x", "y"] + a[6:]) == len(a)
+    assert chained(a, [w + "s" for w in a]) == 0 and chained([], a) == 0
+    assert chained(a * 300, a * 300) == 300 * len(a)
 
 
 # ---- terms
@@ -250,8 +302,10 @@ def test_copies_by_layout(nodes):
     assert sorted(tuple(r) for r in p5_layout.copy_counts(nodes(rows)).collect()) == [(1, 2), (2, 1), (4, 3)]
 
 
-def test_a_hot_key_takes_the_same_result(spark):
+def test_a_hot_key_takes_the_same_result(spark, monkeypatch):
     rows = [(i, "hot") for i in range(3000)] + [(i, f"k{i // 2}") for i in range(3000, 6000)] + [(9999, None)]
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
     got = {r.id: (r.keep_id, r.n_copies) for r in p5_layout.collapse(spark.createDataFrame(rows, "id long, key string")).collect()}
     want = {i: (0, 3000) for i in range(3000)} | {i: (i // 2 * 2, 2) for i in range(3000, 6000)}
     assert got == want
@@ -285,6 +339,7 @@ def test_groups_and_splits(spark):
         sizes[top(t)] = sizes.get(top(t), 0) + 1
     want = {(t, top(t)) for t in up if sizes[top(t)] > 1}
     assert {tuple(r) for r in p6_kin.kin_groups(cases).collect()} == want
+    assert {tuple(r) for r in p6_kin.kept_together(cases).collect()} == want
     rows_of_splits = p6_kin.kin_splits(cases.unionByName(cases.limit(50))).collect()
     split = {r.test_id: r.split for r in rows_of_splits}
     assert len(rows_of_splits) == len(rows)
@@ -294,6 +349,39 @@ def test_groups_and_splits(spark):
         assert abs(sum(s == name for s in split.values()) - 4 * share) <= biggest
 
 
+@pytest.mark.parametrize("n_labels", [1, 40, 3000])
+def test_allocations_meet_quotas(n_labels):
+    rng = random.Random(n_labels)
+    sizes = [[rng.choice([1, 1, 1, 2, 3, 8, 50]) for _ in range(rng.randrange(1, 60))] for _ in range(n_labels)] + [[1] * 4000]
+    count = {}
+    for own in sizes:
+        for s in own:
+            count[s, sum(own)] = count.get((s, sum(own)), 0) + 1
+    plan = p6_kin.allocate([(s, p, n) for (s, p), n in count.items()])
+    assert all(sum(plan[k].values()) == n and min(plan[k].values()) >= 0 for k, n in count.items()) and set(plan) == set(count)
+    total = sum(map(sum, sizes))
+    for name, share in p6_kin.SPLITS:
+        assert abs(sum(k[0] * got[name] for k, got in plan.items()) - total * share / 100) <= 100
+        alone = sum(k[0] * got[name] for k, got in plan.items() if k[1] == 4000)
+        assert list(map(sum, sizes)).count(4000) > 1 or abs(alone - 40 * share) <= 100
+
+
+def test_a_flow_costs_no_more_than_any_other():
+    shares = (("train", 80), ("validation", 10), ("test", 10))
+    for profiles in ({1: 7}, {3: 9, 5: 5}, {1: 2, 2: 4, 7: 7}):
+        total = sum(profiles.values())
+        quota = lambda n, w: -(-n * w // 100)
+
+        def cost(flow):
+            over = sum(10 * max(0, sum(f[x] for f in flow.values()) - quota(total, w)) for x, w in shares)
+            return over + sum(max(0, f[x] - quota(n, w) * (profiles[n] // n)) for n, f in flow.items() for x, w in shares)
+
+        ways = [[{"train": a, "validation": b, "test": c - a - b} for a in range(c + 1) for b in range(c + 1 - a)] for c in profiles.values()]
+        least = min(cost(dict(zip(profiles, way))) for way in product(*ways))
+        got = p6_kin._flow(profiles, shares)
+        assert cost(got) == least and all(sum(f.values()) == profiles[n] for n, f in got.items())
+
+
 def test_kin_of_nothing(spark):
     empty = spark.createDataFrame([], CASES)
     assert p6_kin.kin_groups(empty).count() == 0 and p6_kin.kin_splits(empty).count() == 0

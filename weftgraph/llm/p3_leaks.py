@@ -2,21 +2,23 @@
 
 Fingerprints of a record are the keys of its words, and selected are the minima of its sequence in rare-first order: as many as it takes that every
 pair with the required similarity shares one, whatever was inserted, dropped or moved (see ``setjoin``). Positional winnowing of word k-grams gives
-no such guarantee, so its seeds serve the coverage report alone: there the minima of the windows are joined, collinear seeds are chained, and each
-chain is extended by alignment.
+no such guarantee, so its seeds serve the coverage report alone: there the minima of the windows of k-grams are joined, each seed is extended along
+its diagonal, and collinear runs are chained.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.cases import case_key, case_splits
 from weftgraph.llm.common import kept, records, words
 from weftgraph.llm.p1_near import DEN, LEAST_WORDS, NUM
+from weftgraph.llm.p8_eval import SEEDS_AT_ONCE, _chunks, _ranges, selected
 from weftgraph.llm.setjoin import LEFT, RIGHT, long_sets, similar_sets
 
 #: Words of a fingerprint's k-gram and k-grams of a window in the coverage report.
@@ -60,42 +62,50 @@ def leaked(nodes: DataFrame, test_cases: DataFrame, dataset_splits: DataFrame, n
     return found.select("split", F.coalesce("source", F.lit("unknown")).alias("source"), F.col("id").alias("node_id"))
 
 
-def _winnow(seq: list[str], k: int, window: int) -> dict[int, int]:
-    """Selected positions and their hashes: the rightmost minimum of each window, as is usual."""
-    h = [hash(tuple(seq[i : i + k])) for i in range(len(seq) - k + 1)]
-    return {min(range(i, min(i + window, len(h))), key=lambda j: (h[j], -j)): 0 for i in range(max(1, len(h) - window + 1))} if h else {}
-
-
-def chained(held: list[str], train: list[str], k: int = K, window: int = WINDOW) -> int:
-    """How many words of ``held`` a chain of collinear seeds, each extended to both sides, covers in ``train``."""
-    places: dict[tuple, list[int]] = {}
-    for j in _winnow(train, k, window):
-        places.setdefault(tuple(train[j : j + k]), []).append(j)
-    seeds = sorted((i, j) for i in _winnow(held, k, window) for j in places.get(tuple(held[i : i + k]), []))
-    spans = set()
-    for i, j in seeds:
-        a, b = i, j
-        while a and b and held[a - 1] == train[b - 1]:
-            a, b = a - 1, b - 1
-        e, f = i + k, j + k
-        while e < len(held) and f < len(train) and held[e] == train[f]:
-            e, f = e + 1, f + 1
-        spans.add((a, b, e - a))
-    best: list[tuple[int, int, int]] = []  # end in held, end in train, words covered by the best chain that ends so
-    for a, b, n in sorted(spans):
-        before = 0
-        for x, y, c in best:
-            cut = max(0, x - a, y - b)
-            if cut < n and x - cut <= a and y - cut <= b:
-                before = max(before, c - cut)
-        best.append((a + n, b + n, before + n))
-    return max((c for _, _, c in best), default=0)
-
-
-def _cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spans(held: np.ndarray, train: np.ndarray, k: int, window: int) -> np.ndarray:
+    """Rows ``(start in held, start in train, words)``: the runs of at least ``k`` equal words on every diagonal that has a seed, in order."""
+    i, f = selected(held, np.array([0, len(held)]), k, window)
+    j, g = selected(train, np.array([0, len(train)]), k, window)
+    order = np.argsort(g, kind="stable")
+    low, high = np.searchsorted(g[order], f, side="left"), np.searchsorted(g[order], f, side="right")
+    shift = np.unique(np.repeat(i, high - low) - j[order[_ranges(low, high - low)]])
+    begin = np.maximum(0, shift)
+    size = np.minimum(len(held), len(train) + shift) - begin
+    out = [np.zeros((0, 3), np.int64)]
+    for some in _chunks(size, SEEDS_AT_ONCE):
+        where, of = _ranges(begin[some], size[some]), np.repeat(shift[some], size[some])
+        same = np.r_[False, held[where] == train[where - of], False]
+        edge = np.zeros(len(where) + 1, bool)
+        edge[np.cumsum(size[some]) - size[some]] = True  # a run ends with its diagonal
+        first = np.flatnonzero(same[1:-1] & (~same[:-2] | edge[:-1]))
+        last = np.flatnonzero(same[1:-1] & (~same[2:] | edge[1:]))
+        n = last - first + 1
+        out.append(np.stack([where[first], where[first] - of[first], n], 1)[n >= k])
+    spans = np.concatenate(out)
+    return spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+
+
+def chained(held: np.ndarray, train: np.ndarray, k: int = K, window: int = WINDOW) -> int:
+    """How many words of ``held`` a chain of collinear seeds, each extended to both sides, covers in ``train``; words come as 64-bit hashes.
+
+    Spans that overlap count their common words once.
+    """
+    spans = _spans(held.view(np.uint64), train.view(np.uint64), k, window)
+    ends = np.zeros((3, len(spans)), np.int64)  # end in held, end in train, words covered by the best chain that ends so
+    for m, (a, b, n) in enumerate(spans.tolist()):
+        cut = np.maximum(0, np.maximum(ends[0, :m] - a, ends[1, :m] - b))
+        before = np.where(cut < n, ends[2, :m] - cut, 0).max(initial=0)
+        ends[:, m] = a + n, b + n, before + n
+    return int(ends[2].max(initial=0))
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        covered = [chained(list(x), list(y)) for x, y in zip(b["held_words"], b["train_words"])]
-        yield pd.DataFrame({"held": b["held"], "train_id": b["train_id"], "n_words": b["held_words"].map(len), "n_covered": covered})
+        lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (b.column(1), b.column(3))]
+        words = [[v[low:high] for low, high in zip(at, at[1:])] for v, at in lists]
+        covered = [chained(x, y) for x, y in zip(*words)]
+        cols = [b.column(0), b.column(2), pa.array([len(x) for x in words[0]], pa.int64()), pa.array(covered, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, ["held", "train_id", "n_words", "n_covered"])
 
 
 def coverage(nodes: DataFrame, test_cases: DataFrame, dataset_splits: DataFrame) -> DataFrame:
@@ -109,14 +119,14 @@ def coverage(nodes: DataFrame, test_cases: DataFrame, dataset_splits: DataFrame)
     is_train = F.col("split") == "train"
     placed = placed.join(links.select("sid").distinct(), "sid", "left_semi").where(~is_train).unionByName(placed.join(links.select(F.col("train_sid").alias("sid")).distinct(), "sid", "left_semi").where(is_train))
     placed = kept(placed.select("id", "sid", "case", "split"))
-    text = records(nodes.select("id", "loaded_at", "code").join(placed.select("id").distinct(), "id", "left_semi")).select("id", words(F.col("code")).alias("w"))
+    text = records(nodes.select("id", "loaded_at", "code").join(placed.select("id").distinct(), "id", "left_semi")).select("id", F.transform(words(F.col("code")), lambda w: F.xxhash64(w)).alias("w"))
     placed = kept(placed.join(text, "id").select("id", "sid", "case", "split", F.xxhash64("w").alias("seq"), "w"))
     held = placed.where("split <> 'train'")
     one = F.min(F.struct("id", "w"))
     held_texts = held.groupBy("sid", F.col("seq").alias("held")).agg(one.alias("t")).select("sid", "held", F.col("t.w").alias("held_words"))
     train = placed.where("split = 'train'").groupBy(F.col("sid").alias("train_sid"), "seq").agg(one.alias("t")).select("train_sid", F.col("t.id").alias("train_id"), F.col("t.w").alias("train_words"))
     pairs = links.join(held_texts, "sid").join(train, "train_sid").select("held", "held_words", "train_id", "train_words")
-    aligned = pairs.mapInPandas(_cover, "held long, train_id long, n_words long, n_covered long")
+    aligned = pairs.mapInArrow(_cover, "held long, train_id long, n_words long, n_covered long")
     best = F.max(F.struct("n_covered", (-F.col("train_id")).alias("last"), "n_words")).alias("best")
     best = aligned.groupBy(F.col("held").alias("seq")).agg(best).select("seq", (-F.col("best.last")).alias("train_id"), "best.n_words", "best.n_covered")
     out = held.select(F.col("id").alias("node_id"), "split", "case", "seq").join(best, "seq")

@@ -1,8 +1,7 @@
 """Problem 5: duplicates hidden by layout.
 
-Method: canonical keys are counted exactly by partial counts; hot ones are salted into a two-level aggregation, the others take one shuffle, and
-the smallest identifier stands for its copies. Hot keys are at most ``HOT_KEYS``, so their representatives are sent to all executors and hot rows
-never meet in one task.
+Method: partial counts of canonical keys tell exactly which are hot; these are salted into a two-level aggregation, whose few results are sent to the
+rows; all other keys take one shuffle of their rows by key. The smallest identifier stands for its copies. See ``common.with_least``.
 """
 
 from __future__ import annotations
@@ -10,11 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import only_long
-
-#: A key is hot if it holds more than this share of all rows; so there are fewer than HOT_KEYS of them.
-HOT_KEYS = 1000
-SALTS = 64
+from weftgraph.llm.common import only_long, with_least
 
 
 def _bare(text: Column) -> Column:
@@ -49,20 +44,12 @@ def keyed(nodes: DataFrame, least_words: int = 20) -> DataFrame:
 
 
 def collapse(rows: DataFrame) -> DataFrame:
-    """``(id, keep_id, n_copies)`` for ``rows(id, key)``: the smallest id with the key, and how many rows hold it.
+    """``(id, keep_id, n_copies)`` for ``rows(id, key)``: the smallest id with the key, and how many rows hold it, the row itself among them.
 
-    Null keys are left out. Rows of an id count once.
+    Null keys are left out. Every id should stand in one row.
     """
-    rows = rows.where("key is not null")
-    salted = rows.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep_id"))
-    keys = salted.groupBy("key").agg(F.sum("n").alias("n_copies"), F.min("keep_id").alias("keep_id"))
-    many = keys.where(F.col("n_copies") > 1)
-    limit = rows.agg(F.ceil(F.count(F.lit(1)) / F.lit(HOT_KEYS)).alias("n")).scalar()
-    hot = many.where(F.col("n_copies") > limit)
-    is_hot = F.broadcast(hot)
-    of_hot = rows.join(is_hot, "key")
-    rest = rows.join(F.broadcast(hot.select("key")), "key", "left_anti").join(many.where(F.col("n_copies") <= limit), "key")
-    return of_hot.unionByName(rest).select("id", "keep_id", "n_copies")
+    found = with_least(rows.select("id", "key"), "key", "id")
+    return found.select("id", F.col("least").alias("keep_id"), F.col("n").alias("n_copies"))
 
 
 def copies(nodes: DataFrame) -> DataFrame:
@@ -76,4 +63,4 @@ def copies(nodes: DataFrame) -> DataFrame:
 
 def copy_counts(nodes: DataFrame) -> DataFrame:
     """``(keep_id, n_copies)``: a row for each kept long record, the number of copies with itself."""
-    return keyed(nodes).groupBy("key").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n_copies")).select("keep_id", "n_copies")
+    return collapse(keyed(nodes)).where("id = keep_id").select("keep_id", "n_copies")

@@ -51,11 +51,11 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_kin.kin_groups(table(spark, d, "test_cases"))
+    return p6_kin.kept_together(table(spark, d, "test_cases"))
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
-    return p6_kin.kin_splits(table(spark, d, "test_cases"))
+    return p6_kin.kin_splits(table(spark, d, "test_cases")).select("test_id", "split")
 
 
 def p7_ids_query(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,9 @@ entries of a prefix take part: two sets with similarity t or more share at least
 height, and a pair is dropped inside its block as soon as a bound from the sizes, from the positions of the shared key, or from two 128-bit
 profiles of the sets shows that the overlap can't suffice. What remains is counted exactly on the full rows.
 
-The order of columns comes from a sketch of fixed width that holds how many sets fall on each counter. The order steers the cost alone; any order
-gives the same result. Words are compared by 64-bit hash.
+The order of columns comes from a sketch of fixed width that holds how many rows fall on each counter. The order steers the cost alone; any order
+gives the same result. A column is cut into blocks by its exact height: only columns whose counter is high enough to be hot are counted, so that
+neither a rare column on a full counter is cut, nor a hot one left whole. Words are compared by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from weftgraph.llm.common import kept, only_long
 
 #: Counters of the sketch as a power of two: 4 bytes each, 16 MB sent to every executor at any size of input.
 SKETCH_BITS = 22
-#: Counters in one row of the sketch while it is summed.
-PART_BITS = 16
 #: Entries of a column that meet in one block; a column with more is cut into blocks, and each pair of blocks is a group of its own.
 BLOCK_ROWS = 4096
+#: Hot columns whose heights are sent to the executors, 16 bytes each; of more, entries meet them in a join.
+MOST_HOT = 1_000_000
+#: Entries that a task multiplies, about; more entries take more tasks.
+ENTRIES_A_TASK = 4_000_000
 #: Pairs held in memory at a time while a block is multiplied.
 PAIRS_AT_ONCE = 2_000_000
 
@@ -52,43 +55,50 @@ def _lists(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[at[0] : at[-1]], at - at[0]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketch(rows: DataFrame) -> np.ndarray:
+    """How many entries of ``h`` fall on each counter, over all rows: an array of fixed width. Counts combine before the shuffle, and what reaches
+    the driver is no more than 6 bytes for each counter in use."""
     width = 1 << SKETCH_BITS
+    at = F.col("h").bitwiseAND(F.lit(width - 1)).cast("int")
+    counts = rows.select(F.explode("h").alias("h")).groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    cell = F.struct((F.col("at").bitwiseAND(F.lit(0xFFFF)) - 0x8000).cast("short").alias("low"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n"))
+    packed = counts.groupBy(F.shiftright("at", 16).alias("part")).agg(F.collect_list(cell).alias("cells")).toArrow()
     total = np.zeros(width, dtype=np.uint32)
-    for b in batches:
-        values, _ = _lists(b.column(0))
-        total += np.bincount(values & (width - 1), minlength=width).astype(np.uint32)
-    for part, block in enumerate(total.reshape(-1, 1 << PART_BITS)):
-        at = np.flatnonzero(block)
-        if len(at):
-            packed = at.astype(np.uint16).tobytes(), block[at].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed[0]], pa.binary()), pa.array([packed[1]], pa.binary())], ["part", "at", "n"])
+    for part, cells in zip(packed.column("part").to_pylist(), packed.column("cells")):
+        low, n = (cells.values.field(x).to_numpy() for x in ("low", "n"))
+        total[(part << 16) + low.astype(np.int32) + 0x8000] = n
+    return total
 
 
-def _sum(key, group):
-    total = np.zeros(1 << PART_BITS, dtype=np.uint64)
-    for at, n in zip(group["at"], group["n"]):
-        total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
-    import pandas as pd
+def _tall(counts, most: int):
+    """From sets to ``(key, n)`` of the entries on counters above ``most``, counted in each batch."""
 
-    return pd.DataFrame({"part": [key[0]], "n": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for b in batches:
+            h, _ = _lists(b.column(0))
+            keys, n = np.unique(h[table[h & (len(table) - 1)] > most], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["key", "n"])
 
+    return run
 
-def sketch(rows: DataFrame) -> np.ndarray:
-    """How many entries of ``h`` fall on each counter, over all rows: an array of fixed width."""
-    parts = rows.select("h").mapInArrow(_count, "part int, at binary, n binary")
-    rows = parts.groupBy("part").applyInPandas(_sum, "part int, n binary").collect()
-    total = np.zeros((1 << (SKETCH_BITS - PART_BITS), 1 << PART_BITS), dtype=np.uint32)
-    for r in rows:
-        total[r.part] = np.frombuffer(bytes(r.n), np.uint32)
-    return total.reshape(-1)
 
+def hot_columns(sets: DataFrame, counts, most: int) -> DataFrame:
+    """``(key, n)``: the exact heights of the columns with more than ``most`` entries."""
+    tall = sets.select("h").mapInArrow(_tall(counts, most), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return tall.where(F.col("n") > most)
 
-def _entries(counts, num: int, den: int):
-    """From sets to the matrix entries of their prefixes, each sent to every block pair that needs it."""
+
+def _entries(counts, num: int, den: int, hot=None):
+    """From sets to the matrix entries of their prefixes, each sent to every block pair that needs it.
+
+    ``hot`` holds the sorted keys of the hot columns and their heights. Without it, entries on counters high enough to be hot are left whole, as block
+    -1, for ``cut_blocks``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
+        hot_keys, heights = hot.value if hot is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         mask = len(table) - 1
         for b in batches:
             if not b.num_rows:
@@ -97,32 +107,48 @@ def _entries(counts, num: int, den: int):
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
             count = table[h & mask].astype(np.int64)
-            key = (np.minimum(count, (1 << 22) - 1) << 41) | ((h >> 23) & ((1 << 41) - 1))
             lanes = []
             for lane in (0, 1):
                 bits = np.where((h >> 6) & 1 == lane, np.uint64(1) << (h & 63).astype(np.uint64), np.uint64(0))
                 lanes.append(np.bitwise_or.reduceat(bits, at[:-1]).view(np.int64))
-            order = np.lexsort((h, key, row))
+            order = np.lexsort((h, count, row))
             pos = np.arange(len(h)) - np.repeat(at[:-1], n)
             prefix = n - (num * n + den - 1) // den + 1
-            key, count = key[order], count[order]
+            key, count = h[order], count[order]
             take = (pos < np.repeat(prefix, n)) & (count > 1)
             key, count, pos, row = key[take], count[take], pos[take], row[take]
             sid = b.column(0).to_numpy()[row]
             side = b.column(2).to_numpy()[row].astype(np.int64)
-            blocks = 1 + count // BLOCK_ROWS
+            blocks = np.ones(len(key), np.int64)
+            if len(hot_keys):
+                near = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                blocks = np.where(hot_keys[near] == key, 1 + heights[near] // BLOCK_ROWS, 1)
             own = (sid.view(np.uint64) % blocks.astype(np.uint64)).astype(np.int64)
             rep = np.repeat(np.arange(len(key)), blocks)
             other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
             low, high = np.minimum(own[rep], other), np.maximum(own[rep], other)
-            upper = (own[rep] == high).astype(np.int64)  # the block itself is carried, for the key holds a clipped count
+            block = (low << 31) | high
+            if hot is None:
+                block = np.where(count > BLOCK_ROWS, -1, block)
+            upper = (own[rep] == high).astype(np.int64)  # of the two blocks that meet, the one an entry is from
             meta = (pos.astype(np.int64) << 3) | side
-            cols = [key[rep], (low << 31) | high, n[row][rep].astype(np.int32), sid[rep], meta[rep] | (upper << 2), lanes[0][row][rep], lanes[1][row][rep]]
+            cols = [key[rep], block, n[row][rep].astype(np.int32), sid[rep], meta[rep] | (upper << 2), lanes[0][row][rep], lanes[1][row][rep]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "n", "sid", "meta", "s0", "s1"])
 
     return run
 
 
+def cut_blocks(entries: DataFrame, hot: DataFrame) -> DataFrame:
+    """Entries whose block is -1 sent to the block pairs of their column by a join with the heights ``hot(key, n)``; others as they are."""
+    blocks = 1 + F.floor(F.coalesce("height", F.lit(0)) / F.lit(BLOCK_ROWS))
+    tall = entries.where("block = -1").join(hot.withColumnRenamed("n", "height"), "key", "left").withColumn("own", F.pmod("sid", blocks))
+    tall = tall.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    upper = F.col("meta").bitwiseAND(F.lit(~4)).bitwiseOR(F.when(F.col("own") == high, 4).otherwise(0))
+    tall = tall.withColumns({"block": F.shiftleft(low, 31).bitwiseOR(high), "meta": upper})
+    return entries.where("block <> -1").unionByName(tall.select(*entries.columns))
+
+
 ENTRY = "key long, block long, n int, sid long, meta long, s0 long, s1 long"
 
 
@@ -218,9 +244,20 @@ def similar_sets(rows: DataFrame, sets: DataFrame, num: int, den: int, both: boo
     if both:
         sets = sets.select("sid", "h", F.lit(LEFT | RIGHT).cast("byte").alias("side"))
     sets = kept(sets.select("sid", "h", F.col("side").cast("byte").alias("side")))
-    counts = spark.sparkContext.broadcast(sketch(rows))
-    entries = sets.mapInArrow(_entries(counts, num, den), ENTRY)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = sketch(rows)
+    counts = spark.sparkContext.broadcast(table)
+    hot = (np.zeros(0, np.int64),) * 2
+    if table.max(initial=0) > BLOCK_ROWS:
+        heights = hot_columns(sets, counts, BLOCK_ROWS)
+        found = heights.limit(MOST_HOT + 1).toArrow()
+        hot = tuple(found.column(c).to_numpy() for c in ("key", "n"))
+    if len(hot[0]) <= MOST_HOT:
+        order = np.argsort(hot[0])
+        shared = spark.sparkContext.broadcast((hot[0][order], hot[1][order]))
+        entries = sets.mapInArrow(_entries(counts, num, den, shared), ENTRY)
+    else:
+        entries = cut_blocks(sets.mapInArrow(_entries(counts, num, den), ENTRY), heights)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(table.sum(dtype=np.int64)) // ENTRIES_A_TASK)
     entries = entries.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "n")
     pairs = entries.mapInArrow(_multiply(num, den, both), "a long, b long").distinct()
     rows = sets.select("sid", "h")
