@@ -50,12 +50,54 @@ def declared_names(code: Column) -> Column:
 
 
 def object_calls(code: Column) -> Column:
-    """``C :: C`` for each ``new C`` and ``C :: ~C`` for each ``delete`` of a name declared as ``C *`` in the same text, else ``delete`` alone."""
+    """``C :: C`` for each ``new C``, and for each ``delete`` of a name ``C :: ~C`` if the same text makes or declares it as a ``C *``, else ``delete``
+    and the name."""
     made = F.transform(F.regexp_extract_all(code, F.lit(r"\bnew ([A-Za-z_]\w*)"), F.lit(1)), lambda c: F.concat(c, F.lit(" :: "), c))
-    gone = F.transform(F.regexp_extract_all(code, F.lit(r"\bdelete (?:\[ \] )?([A-Za-z_]\w*)"), F.lit(1)), lambda v: F.concat(F.lit("delete "), v))
+    declared = r"\b([A-Za-z_]\w*) \* (?:const )?([A-Za-z_]\w*)(?= [=;,)]|$)"
+    names = F.concat(F.regexp_extract_all(code, F.lit(declared), F.lit(2)), F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_]\w*) = new ([A-Za-z_]\w*)"), F.lit(1)))
+    kinds = F.concat(F.regexp_extract_all(code, F.lit(declared), F.lit(1)), F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_]\w*) = new ([A-Za-z_]\w*)"), F.lit(2)))
+
+    def one(v: Column) -> Column:
+        kind = F.get(kinds, (F.array_position(names, v) - 1).cast("int"))
+        return F.when(F.array_contains(names, v), F.concat(kind, F.lit(" :: ~"), kind)).otherwise(F.concat(F.lit("delete "), v))
+
+    gone = F.transform(F.regexp_extract_all(code, F.lit(r"\bdelete (?:\[ \] )?([A-Za-z_]\w*)"), F.lit(1)), one)
     return F.concat(made, gone)
 
 
+# Tokens that are no symbols.
+MARKS = ["*", "+", "-", "->", "(", ")", "[", "]", "&", ".", "::", ";", ","]
+
+
+def _symbols(tokens: Column) -> Column:
+    bare = F.transform(tokens, lambda t: F.trim(F.regexp_replace(t, "[*&]", "")))
+    return F.array_distinct(F.filter(bare, lambda t: t != ""))
+
+
+def defined_in_text(code: Column) -> Column:
+    """What a statement that no parser reads defines: the tokens before the first `` = ``, of an element of an array those before the first bracket. The
+    first ``a -> b`` is one symbol, and beside an element ``a`` is one too."""
+    left = F.trim(F.get(F.split(code, " = "), F.lit(0)))
+    is_element = F.endswith(left, F.lit("]"))
+    tokens = F.when(is_element, F.split(F.trim(F.get(F.split(code, r" \[ "), F.lit(0))), " ")).otherwise(F.split(left, " "))
+
+    def joined(t: Column) -> Column:
+        at = F.array_position(t, "->").cast("int")
+        member = F.array(F.concat_ws(" ", F.get(t, at - 2), F.lit("->"), F.get(t, at)))
+        whole = F.concat(F.slice(t, 1, F.greatest(at - 2, F.lit(0))), member, F.slice(t, at + 2, F.size(t)))
+        whole = F.when(is_element, whole).otherwise(F.concat(whole, F.array(F.get(t, at - 2))))
+        return F.when((at > 1) & (at < F.size(t)), whole).otherwise(t)
+
+    found = F.get(F.transform(F.array(tokens), joined), F.lit(0))
+    return F.when(F.contains(code, F.lit(" = ")), _symbols(found)).otherwise(F.array().cast("array<string>"))
+
+
+def used_in_text(code: Column) -> Column:
+    """What such a statement uses: the tokens behind the first `` = ``, up to the next, or all of them, without marks."""
+    right = F.when(F.contains(code, F.lit(" = ")), F.trim(F.get(F.split(code, " = "), F.lit(1)))).otherwise(code)
+    return _symbols(F.filter(F.split(right, " "), lambda t: ~t.isin(MARKS)))
+
+
 def focus_index(tokens: Column, focus: Column, expression: bool = False) -> Column:
     """The place from 1 of the token a slice is about, the middle one for expressions and where it doesn't occur."""
     middle = (F.size(tokens) / 2).cast("int") + 1

@@ -114,11 +114,29 @@ def tfidf(docs: DataFrame) -> DataFrame:
     return each.join(df, "word").select("doc_id", "word", F.round((1 + F.log("k")) * F.log(1 + total / (1 + F.col("n_docs"))), 9).alias("weight"))
 
 
+def term_matrix(docs: DataFrame, mode: str) -> DataFrame:
+    """``(doc_id, word, value)`` of ``docs(doc_id, words)``: ``count`` how often a word occurs, ``binary`` that it does, ``freq`` its share of the words."""
+    each = docs.select("doc_id", F.size("words").alias("size"), F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"))
+    value = {"count": F.col("k").cast("double"), "binary": F.lit(1.0), "freq": F.col("k") / F.col("size")}[mode]
+    return each.select("doc_id", "word", value.alias("value"))
+
+
+def sampling_rates(rank: Column, factor: float = 1e-5) -> Column:
+    """How likely a word is kept, by its rank among all words by frequency, if these are as Zipf has them; ranks count from 0, as which 1 counts."""
+    r = F.greatest(rank, F.lit(1)).cast("double")
+    expected = factor * (r * (F.log(r) + 0.577) + 0.5 - 1 / (12 * r))
+    return F.least(F.lit(1.0), F.sqrt(expected))
+
+
 def skipgrams(docs: DataFrame, window: int) -> DataFrame:
     """``(doc_id, word, context)`` for each two words at most ``window`` places apart, either way."""
-    ws = F.col("words")
-    around = F.flatten(F.transform(ws, lambda w, i: F.transform(F.filter(F.sequence(i - window, i + window), lambda j: (j >= 0) & (j < F.size(ws)) & (j != i)), lambda j: F.struct(w.alias("word"), F.get(ws, j).alias("context")))))
-    return docs.where(F.size("words") > 0).select("doc_id", F.inline(around))
+    ws, n = F.col("words"), F.size("words")
+    ways = []
+    for k in range(1, window + 1):
+        size = F.greatest(n - k, F.lit(0))
+        before, behind = F.slice(ws, 1, size), F.slice(ws, k + 1, size)
+        ways += [F.arrays_zip(before.alias("word"), behind.alias("context")), F.arrays_zip(behind.alias("word"), before.alias("context"))]
+    return docs.where(n > 1).select("doc_id", F.inline(F.concat(*ways)).alias("word", "context"))
 
 
 def reverse_index(docs: DataFrame) -> DataFrame:

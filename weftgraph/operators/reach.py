@@ -38,18 +38,16 @@ def reach(edges: DataFrame, seeds: DataFrame, most_hops: int | None = None) -> D
 
 
 def _reach_within(edges: DataFrame, seeds: DataFrame, most_hops: int | None) -> DataFrame:
+    edges = cut(edges.distinct())
     owner = edges.select(F.explode(F.array("src", "dst")).alias("id"), F.col("function_id").alias("f"))
     owner = owner.groupBy("id").agg(F.min("f").alias("f"), F.max("f").alias("g"), F.max(F.col("f").isNull()).alias("lone"))
-    # What leaves its function, or belongs to none, makes its functions be searched in rounds; so do functions beyond the bound.
-    across = owner.where("lone or f <> g").select("f", "g")
-    sizes = edges.groupBy("function_id").agg(F.count(F.lit(1)).alias("n"))
-    size = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
-    if size["all"] is None:
-        return seeds.select("root", "id").distinct().withColumn("hops", F.lit(0))
-    if size["most"] > LARGEST or not across.isEmpty():
+    # What leaves its function, or belongs to none, makes all be searched in rounds; so does a function beyond the bound.
+    leaves = owner.agg(F.lit(0).cast("long").alias("all"), F.lit(0).cast("long").alias("most"), F.max(F.col("lone") | (F.col("f") != F.col("g"))).alias("leaves"))
+    sizes = edges.groupBy("function_id").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.lit(False).alias("leaves"))
+    size = sizes.unionByName(leaves).agg(F.max("all").alias("all"), F.max("most").alias("most"), F.max("leaves").alias("leaves")).first()
+    if size["leaves"] or size["most"] > LARGEST:
         return _reach_in_rounds(edges, seeds, most_hops)
-    seeds = seeds.select("root", "id").distinct()
-    placed = seeds.join(owner.select("id", F.col("f").alias("function_id")), "id", "left")
+    placed = seeds.select("root", "id").distinct().join(owner.select("id", F.col("f").alias("function_id")), "id", "left")
     rows = edges.select("function_id", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
     # Seeds on no edge reach themselves alone; they are spread by their id.
     rows = rows.unionByName(placed.select(F.coalesce("function_id", F.xxhash64("id")).alias("function_id"), F.lit(1).alias("kind"), F.col("root").alias("a"), F.col("id").alias("b")))

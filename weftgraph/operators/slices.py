@@ -107,13 +107,27 @@ def complete_data_edges(symbols: DataFrame, scopes: DataFrame | None = None) ->
     return edges.join(apart, ["src", "dst"], "left_anti")
 
 
-def object_edges(g: CodeGraph) -> DataFrame:
-    """``(src, dst, var)`` from where an object is made with ``new`` to the places of its function that use or delete it, further down."""
+#: How an object is made: its name, then ``new``; and by the functions that allocate, with or without a cast.
+BY_NEW, BY_ALLOCATION = r"([A-Za-z_]\w*) = new ", r"([A-Za-z_]\w*) = (?:\( [^()]* \) )?(?:malloc|calloc|realloc) \("
+
+
+def object_edges(g: CodeGraph, made: str = BY_NEW) -> DataFrame:
+    """``(src, dst, var)`` from where an object is made, by ``new`` unless told otherwise, to the places of its function that use or delete it, further
+    down. Where a statement makes several, each counts."""
     code = g.node("code", "function_id", "line", where="code is not null and function_id is not null")
-    made = code.select("id", "function_id", "line", F.regexp_extract("code", r"([A-Za-z_]\w*) = new ", 1).alias("var")).where("var <> ''")
-    used = F.array_distinct(F.concat(F.regexp_extract_all("code", F.lit(r"(?:^| )([A-Za-z_]\w*) -> "), F.lit(1)), F.regexp_extract_all("code", F.lit(r"(?:^| )delete ([A-Za-z_]\w*)"), F.lit(1))))
+    makers = code.select("id", "function_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(made), F.lit(1)))).alias("var"))
+    used = F.array_distinct(F.concat(F.regexp_extract_all("code", F.lit(r"(?:^| )([A-Za-z_]\w*) -> "), F.lit(1)), F.regexp_extract_all("code", F.lit(r"(?:^| )delete (?:\[ \] )?([A-Za-z_]\w*)"), F.lit(1))))
     users = code.select(F.col("id").alias("dst"), "function_id", F.col("line").alias("at"), F.explode(used).alias("var"))
-    return made.withColumnRenamed("id", "src").join(users, ["function_id", "var"]).where("src <> dst and at >= line").select("src", "dst", "var").distinct()
+    return makers.withColumnRenamed("id", "src").join(users, ["function_id", "var"]).where("src <> dst and at >= line").select("src", "dst", "var").distinct()
+
+
+def repaired(nodes: DataFrame, flow: DataFrame) -> DataFrame:
+    """``(id, now)`` of ``nodes(id, function_id, code, line)``: nodes that are not among ``flow(id, function_id, code, line)`` take the id of the one there
+    with the same function, code and line, of several the least; what has none keeps its own."""
+    there = flow.groupBy("function_id", "code", "line").agg(F.min("id").alias("other"))
+    lost = nodes.join(flow.select("id").distinct(), "id", "left_anti")
+    found = lost.join(there, ["function_id", "code", "line"], "left").select("id", F.coalesce("other", "id").alias("now"))
+    return found.unionByName(nodes.join(flow.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("now")))
 
 
 def points_of(slice_points: DataFrame) -> DataFrame:
@@ -134,10 +148,21 @@ def forward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None)
     return reach(edges, points.select(F.col("slice_id").alias("root"), "id"), most_hops).select(F.col("root").alias("slice_id"), "id")
 
 
+def whole_slice(g: CodeGraph, points: DataFrame) -> DataFrame:
+    """``(slice_id, id)``: backward and forward slice together, in one search: the forward one runs on a copy of the graph with ids turned bit by bit."""
+    edges = cut(dependence_edges(g, "function_id"))
+    flip = lambda df: df.select(*(F.bitwise_not(c).alias(c) if c != "slice_id" else F.col(c) for c in df.columns))
+    ahead = flip(without_control(edges).select("src", "dst", "function_id"))
+    seeds = points.select("slice_id", "id")
+    seeds = seeds.unionByName(flip(seeds)).withColumnRenamed("slice_id", "root")
+    found = reach(turned(edges).unionByName(ahead), seeds)
+    return found.select(F.col("root").alias("slice_id"), F.greatest("id", F.bitwise_not("id")).alias("id")).distinct()
+
+
 def program_slice(g: CodeGraph, points: DataFrame, call_hops: int = 0) -> DataFrame:
     """``(slice_id, id)``: backward and forward slice together; with ``call_hops`` the functions that its statements call, and those that call the
     function of a slice that takes in a parameter, so many calls away."""
-    found = backward_slice(g, points).unionByName(forward_slice(g, points)).distinct()
+    found = whole_slice(g, points)
     for _ in range(call_hops):
         calls = text_calls(g)
         down = found.join(calls, "id").select("slice_id", F.col("callee").alias("function_id"))
@@ -156,7 +181,7 @@ def crossing_slice(g: CodeGraph, points: DataFrame, caller_hops: int = 3) -> Dat
     """
     calls = cut(text_calls(g))
     params = g.node("type", "function_id", where="type = 'Parameter'").select("id", F.col("function_id").alias("callee"))
-    found = fresh = cut(backward_slice(g, points).unionByName(forward_slice(g, points)).distinct())
+    found = fresh = cut(whole_slice(g, points))
     for _ in range(caller_hops):
         up = fresh.join(params, "id").select("slice_id", "callee").distinct().join(calls, "callee").select("slice_id", "id").distinct()
         fresh = cut(backward_slice(g, up).join(found, ["slice_id", "id"], "left_anti"))

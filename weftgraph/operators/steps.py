@@ -50,9 +50,9 @@ def ith_children(g: CodeGraph, pipe: DataFrame, i: int) -> DataFrame:
     return children(g, pipe).join(placed, "id", "left_semi")
 
 
-def num_children(g: CodeGraph, pipe: DataFrame) -> DataFrame:
-    """``(id, n)``, 0 for leaves."""
-    counts = g.edge("IS_AST_PARENT").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+def num_children(g: CodeGraph, pipe: DataFrame, kind: str = "IS_AST_PARENT") -> DataFrame:
+    """``(id, n)``: how many children each node has along a type of edges, 0 for leaves."""
+    counts = g.edge(kind).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return pipe.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -250,3 +250,8 @@ def bag_union(*pipes: DataFrame) -> DataFrame:
 
 def set_union(*pipes: DataFrame) -> DataFrame:
     return bag_union(*pipes).distinct()
+
+
+def minus(pipe: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of a pipe without those nodes that are in another, repeated ones too."""
+    return pipe.join(other.select("id").distinct(), "id", "left_anti")

@@ -32,3 +32,8 @@ def hunks(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy("file").orderBy("pos")
     numbered = lines.withColumn("hunk", F.sum(F.when(F.startswith("value", F.lit("@@")), 1).otherwise(0)).over(w))
     return numbered.withColumn("place", F.row_number().over(Window.partitionBy("file", "hunk").orderBy("pos")) - 1)
+
+
+def text_order(rows: DataFrame) -> DataFrame:
+    """``(src, dst)`` from each of ``rows(id, function_id, start_idx)`` to the next in its function's text: the flow of a function whose own is lost."""
+    return siblings(rows, "function_id", "start_idx", "id").where("next_id is not null").select(F.col("id").alias("src"), F.col("next_id").alias("dst"))

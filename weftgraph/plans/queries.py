@@ -12,7 +12,7 @@ from weftgraph.functions import scores, text
 from weftgraph.functions.embed import api_vectors, baseline_scores, embedded, mean_vectors, nearest, train_vectors, vector_table
 from weftgraph.functions.recurrent import Classifier, predict
 from weftgraph.graph import CodeGraph
-from weftgraph.io import table
+from weftgraph.io import cut, table
 from weftgraph.operators import arguments, checks, lookup, points, reach, slices, snippets, steps, taint, windows
 from weftgraph.sources.textual import case_of_folders, graph_text
 from weftgraph.sources.tree import folders
@@ -182,12 +182,9 @@ def two_hops(spark, d):
     return steps.dedup(steps.out(g, steps.sinks(g, _of(spark, d, "Parameter")), "FLOWS_TO"))
 
 
-@query(WITH + "SELECT n.id AS id, x.id AS leave FROM n JOIN n x ON x.function_id = n.function_id AND x.type = 'CFGExitNode' WHERE n.type = 'ReturnStatement'")
+@query(WITH + "SELECT x.id, count(*) AS n FROM n JOIN n x ON x.function_id = n.function_id AND x.type = 'CFGExitNode' WHERE n.type = 'ReturnStatement' GROUP BY 1")
 def exit_of(spark, d):
-    g = _g(spark, d)
-    at = g.node("type", "function_id")
-    leave = at.where("type = 'CFGExitNode'").select("function_id", F.col("id").alias("leave"))
-    return at.where("type = 'ReturnStatement'").join(leave, "function_id").select("id", "leave")
+    return steps.to_exit(_g(spark, d), _of(spark, d, "ReturnStatement")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WITH + "SELECT DISTINCT function_id AS id FROM n WHERE type = 'GotoStatement' AND function_id IS NOT NULL")
@@ -234,9 +231,7 @@ def set_union(spark, d):
 
 @query(WITH + "SELECT n.id, coalesce(k, 0) AS n FROM n LEFT JOIN (SELECT src, count(DISTINCT dst) AS k FROM e WHERE etype = 'CONTROLS' GROUP BY src) c ON c.src = n.id WHERE n.type = 'Condition'")
 def controlled_count(spark, d):
-    g = _g(spark, d)
-    n = g.edge("CONTROLS").groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return _of(spark, d, "Condition").select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    return steps.num_children(_g(spark, d), _of(spark, d, "Condition"), "CONTROLS")
 
 
 @query("SELECT id, count(*) AS n FROM nodes WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1")
@@ -270,11 +265,6 @@ def callers_within_3(spark, d):
     return slices.callers_within(_g(spark, d), _of(spark, d, "Function"))
 
 
-@query()
-def method_calls(spark, d):
-    return arguments.method_calls(_g(spark, d))
-
-
 @query("SELECT DISTINCT id, type FROM nodes WHERE id IS NOT NULL AND (id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%') OR function_id IN (SELECT id FROM nodes WHERE type = 'Function' AND name LIKE 'read%'))")
 def nodes_of_functions(spark, d):
     g = _g(spark, d)
@@ -419,13 +409,6 @@ def inlined_labels(spark, d):
     return labels.groupBy("label", "n_hits").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(WITH + """SELECT DISTINCT m.id AS src, u.id AS dst, m.var FROM (SELECT id, function_id, line, regexp_extract(code, '([A-Za-z_]\\w*) = new ', 1) AS var FROM n WHERE code IS NOT NULL AND function_id IS NOT NULL) m
-    JOIN (SELECT id, function_id, line, unnest(list_concat(regexp_extract_all(code, '(?:^| )([A-Za-z_]\\w*) -> ', 1), regexp_extract_all(code, '(?:^| )delete ([A-Za-z_]\\w*)', 1))) AS var FROM n
-    WHERE code IS NOT NULL AND function_id IS NOT NULL) u ON u.function_id = m.function_id AND u.var = m.var WHERE m.var <> '' AND m.id <> u.id AND u.line >= m.line""")
-def object_edges(spark, d):
-    return slices.object_edges(_g(spark, d))
-
-
 # ---- reachability, paths, taint
 
 
@@ -465,14 +448,7 @@ def flow_paths(spark, d):
     return reach.paths_to_any(_g(spark, d).edge("FLOWS_TO"), starts, ends)
 
 
-@query()
-def unsanitized_paths(spark, d):
-    n = _n(spark, d)
-    clean = F.col("code").rlike("(^| )(sizeof|MAX_PATH)( |$)")
-    return taint.unsanitized_paths(_g(spark, d), _pipe(lookup.statements(n)), _pipe(lookup.statements(n)), clean)
-
-
-@query(WITH + """, c AS (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS'), r AS (SELECT id AS root, id, 0 AS h FROM n WHERE code LIKE 'memcpy (%' UNION SELECT r.root, c.src, h + 1 FROM r JOIN c ON c.dst = r.id WHERE h < 8)
+@query(WITH + """, c AS (SELECT DISTINCT src, dst FROM e WHERE etype = 'CONTROLS'), r AS (SELECT id AS root, id FROM n WHERE code LIKE 'memcpy (%' UNION SELECT r.root, c.src FROM r JOIN c ON c.dst = r.id)
     SELECT id FROM n WHERE code LIKE 'memcpy (%' AND id NOT IN (SELECT r.root FROM r JOIN n x ON x.id = r.id AND x.type = 'Condition' AND r.id <> r.root AND regexp_full_match(x.code, '.*(<|>).*'))""")
 def unchecked_calls(spark, d):
     n = _n(spark, d)
@@ -570,7 +546,7 @@ def token_counts(spark, d):
 
 @query()
 def canonical_codes(spark, d):
-    code = _g(spark, d).node("type", "code", where="type in ('Condition', 'ExpressionStatement', 'ReturnStatement')")
+    code = _g(spark, d).node("code", where="is_cfg and code is not null")
     return code.select("id", F.array_join(text.canonical(text.c_tokens(F.col("code"))), " ").alias("code"))
 
 
@@ -741,8 +717,8 @@ def one_hot_labels(spark, d):
 
 @query()
 def word_vectors(spark, d):
-    code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null")
-    return vector_table(train_vectors(code.select(text.c_tokens(F.col("code")).alias("words")), rounds=1))
+    code = _g(spark, d).node("code", where="is_cfg and code is not null")
+    return vector_table(train_vectors(code.select(text.c_tokens(F.col("code")).alias("words"))))
 
 
 @query()
@@ -759,12 +735,11 @@ def window_counts(spark, d):
     return windowed_counts(table(spark, d, "events"), "ts", "event_type")
 
 
-@query()
-def embedded_conditions(spark, d):
-    """Conditions as sequences of their tokens' vectors."""
-    code = _g(spark, d).node("type", "code", where="type = 'Condition' and code is not null").select(F.col("id").alias("doc_id"), text.c_tokens(F.col("code")).alias("words"))
-    vectors = vector_table(train_vectors(code, rounds=1))
-    return embedded(code, vectors).select("doc_id", F.size("x").alias("n_tokens"))
+@query(WITH + f"SELECT doc_id, n_tokens FROM (SELECT id AS doc_id, len(regexp_extract_all(code, '{TOKEN}'))::INT AS n_tokens FROM n WHERE is_cfg AND code IS NOT NULL) WHERE n_tokens > 0")
+def embedded_statements(spark, d):
+    """Statements as sequences of their tokens' vectors: each token has one."""
+    code = _g(spark, d).node("code", where="is_cfg and code is not null").select(F.col("id").alias("doc_id"), text.c_tokens(F.col("code")).alias("words"))
+    return embedded(code, vector_table(train_vectors(code))).select("doc_id", F.size("x").alias("n_tokens"))
 
 
 # ---- functions on code
@@ -807,10 +782,14 @@ def similar_functions(spark, d):
 
 @query()
 def baseline_of_slices(spark, d):
-    """A logistic baseline: are the lines of a slice vulnerable, by the mean vectors of its tokens."""
+    """A logistic baseline: are the lines of a slice vulnerable, by the mean vectors of its tokens. It learns from the slices of four in five functions
+    and scores those of the others."""
     g = _g(spark, d)
-    lines = slices.slice_lines(g, _members(spark, d)).cache()
+    points_ = slices.points_of(table(spark, d, "slice_points"))
+    lines = cut(slices.slice_lines(g, slices.program_slice(g, points_)))
     words = lines.groupBy(F.col("slice_id").alias("doc_id")).agg(F.flatten(F.collect_list(text.c_tokens(F.col("code")))).alias("words"))
-    means = mean_vectors(words, vector_table(train_vectors(words, size=8, rounds=1)))
-    samples = means.join(slices.label_slices(lines, table(spark, d, "vul_lines")).withColumnRenamed("slice_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("sample_id"), "vec", "label")
-    return baseline_scores(samples, samples)
+    means = mean_vectors(words, vector_table(train_vectors(words)))
+    samples = means.join(slices.label_slices(lines, table(spark, d, "vul_lines")).withColumnRenamed("slice_id", "doc_id"), "doc_id")
+    place = points_.groupBy("slice_id").agg(F.min("function_id").alias("f")).withColumnRenamed("slice_id", "doc_id")
+    samples = cut(samples.join(place, "doc_id").select(F.col("doc_id").alias("sample_id"), "vec", "label", (F.pmod(F.xxhash64("f"), F.lit(5)) == 0).alias("held")))
+    return baseline_scores(samples.where("not held"), samples.where("held"))

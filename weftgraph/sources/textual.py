@@ -74,7 +74,7 @@ def flaws(lines: DataFrame) -> DataFrame:
 
 
 def keywords(spark: SparkSession, path: str) -> DataFrame:
-    """``(keyword)``: the first column of a CSV file with a header."""
+    """``(keyword)``: the first column of a CSV file with a header, or of all such files of a folder, as the sheets of a book are."""
     rows = spark.read.csv(path, header=True)
     return rows.select(F.trim(F.col(f"`{rows.columns[0]}`")).alias("keyword")).where("keyword <> ''").distinct()
 
