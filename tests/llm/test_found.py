@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftgraph.llm import common, p1_near, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p7_ids, p8_eval, p9_subjects, setjoin
+from weftgraph.llm import common, p1_near, p2_cohesion, p2_pieces, p3_leaks, p4_terms, p5_layout, p6_kin, p7_ids, p8_eval, p9_subjects, setjoin
 
 
 def word_set(code):
@@ -183,6 +183,53 @@ def test_pieces_of_records(nodes):
         assert all(t == code[s:e] and len(t) <= 1000 for _, s, e, t in mine)
 
 
+# ---- pieces by cohesion
+
+
+def slow_cohesion(w, b):
+    rows = [np.bincount(w[max(0, i - b) : i], minlength=max(w) + 1) for i in range(1, len(w))], [np.bincount(w[i : i + b], minlength=max(w) + 1) for i in range(1, len(w))]
+    return [x @ y / np.sqrt((x @ x) * (y @ y)) for x, y in zip(*rows)]
+
+
+def slow_depths(s):
+    out = []
+    for i in range(len(s)):
+        low = high = i
+        while low and s[low - 1] >= s[low]:
+            low -= 1
+        while high + 1 < len(s) and s[high + 1] >= s[high]:
+            high += 1
+        out.append(s[low] + s[high] - 2 * s[i])
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=2, max_size=40), st.integers(1, 9), st.lists(st.integers(0, 4), max_size=15))
+def test_cohesion_and_valleys_are_those_of_the_definition(words, block, score):
+    assert np.allclose(p2_cohesion.cohesion(np.array(words), block), slow_cohesion(words, block))
+    assert np.allclose(p2_cohesion.depths(np.array(score, float)), slow_depths(score))
+
+
+def test_pieces_end_where_the_subject_changes(nodes):
+    rng = random.Random(7)
+    topics = [" ".join(rng.choice([f"{t}{i}" for i in range(12)]) for _ in range(120)) for t in ("cat", "dog", "owl", "elk", "fox")]
+    ends, at = [], 0
+    for t in topics[:-1]:
+        at += len(t)
+        ends.append(at)
+        at += 1
+    text = " ".join(topics)
+    got = p2_cohesion.pieces(text)
+    assert sum(any(abs(e - x) <= 40 for x in ends) for _, e, _ in got[:-1]) >= 3
+    rows = [(1, text), (1, text), (2, "a" * 2001), (3, "short"), (4, None), (5, ""), (6, "; " * 800)]
+    found = p2_cohesion.cohesive_pieces(nodes(rows)).collect()
+    assert {r.node_id for r in found} == {1, 2, 6}
+    for k in (1, 2, 6):
+        mine = sorted((r.piece_no, r.start_at, r.end_at) for r in found if r.node_id == k)
+        assert mine[0][1] == 0 and mine[-1][2] == len(dict(rows)[k]) and all(0 < e - s <= 1000 for _, s, e in mine)
+        assert all(0 < e - s <= 100 for (_, _, e), (_, s, _) in zip(mine, mine[1:]))
+
+
 # ---- leaks
 
 
@@ -466,6 +513,19 @@ def test_subjects_of_held_out_documents(spark):
     assert p9_subjects.subjects_of(documents, none, subjects).count() == 0
 
 
+def test_rules_of_weak_terms_and_calibration():
+    share = {("a", "x"): 0.4, ("b", "x"): 0.4, ("c", "x"): 0.95, ("ab", "x"): 0.96, ("ac", "x"): 0.99, ("abc", "y"): 0.9, ("abc", "x"): 1.0}
+    rules = p9_subjects._rules({(frozenset(k), s): v for (k, s), v in share.items()}, frozenset("abc"))
+    found = {("".join(sorted(t)), s) for rows in rules.by_term.values() for t, s, _ in rows}
+    assert found == {("ab", "x"), ("c", "x"), ("abc", "y")}  # two weak terms, one sure one, three for another subject
+    assert set(rules.evidence(["a", "b", "c"])) == {"x", "y"} and not rules.evidence(["a"]) and not rules.evidence([])
+    counts = {"a": {"": 100, "x": 40}, "b": {"": 90, "x": 80}, "a b": {"": 90, "x": 80}, "c": {"": 90, "x": 81}, "d": {"": 50, "x": 12}}
+    assert list(p9_subjects._items(counts, {"x": 100}, 400, {"a": 1, "b": 2, "a b": 2, "c": 2, "d": 3})) == ["a", "b"]
+    likely = p9_subjects.calibrated({13: (1000, 200), 14: (1000, 100), 19: (1000, 990)})
+    assert len(likely) == p9_subjects.STEPS and list(likely) == sorted(likely) and likely[14] < 0.2 and likely[19] > 0.98
+    assert p9_subjects.grams("a b x c".split(), {"a", "b", "c"}) == {"a", "b", "a b", "c"}
+
+
 def test_sentences():
     text = 'ADVISORY X-1 / low\r\n\r\nFirst one. Second "one." Third?\n* Fourth!\nfor ( i = 0 ; i < n ; i ++ ) { x [ i ] = 1 ; }\nint x = f(a) ? 1 : 2;\n错误 848：无法读取。 Last'
     assert [s.split()[0] for s in p9_subjects.sentences(text)] == ["First", "Second", "Third?", "*", "错误"]

