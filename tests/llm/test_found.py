@@ -519,8 +519,8 @@ def test_rules_of_weak_terms_and_calibration():
     found = {("".join(sorted(t)), s) for rows in rules.by_term.values() for t, s, _ in rows}
     assert found == {("ab", "x"), ("c", "x"), ("abc", "y")}  # two weak terms, one sure one, three for another subject
     assert set(rules.evidence(["a", "b", "c"])) == {"x", "y"} and not rules.evidence(["a"]) and not rules.evidence([])
-    counts = {"a": {"": 100, "x": 40}, "b": {"": 90, "x": 80}, "a b": {"": 90, "x": 80}, "c": {"": 90, "x": 81}, "d": {"": 50, "x": 12}}
-    assert list(p9_subjects._items(counts, {"x": 100}, 400, {"a": 1, "b": 2, "a b": 2, "c": 2, "d": 3})) == ["a", "b"]
+    counts = {"a": {"": 100, "x": 40}, "b": {"": 90, "x": 80}, "a b": {"": 90, "x": 80}, "c": {"": 90, "x": 81}, "d": {"": 50, "x": 8}}
+    assert list(p9_subjects._items(counts, {"x": 100}, 1000, {"a": 1, "b": 2, "a b": 2, "c": 2, "d": 3})) == ["a", "b"]
     likely = p9_subjects.calibrated({13: (1000, 200), 14: (1000, 100), 19: (1000, 990)})
     assert len(likely) == p9_subjects.STEPS and list(likely) == sorted(likely) and likely[14] < 0.2 and likely[19] > 0.98
     assert p9_subjects.grams("a b x c".split(), {"a", "b", "c"}) == {"a", "b", "a b", "c"}

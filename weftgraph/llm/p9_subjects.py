@@ -14,7 +14,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -29,8 +28,9 @@ SAMPLE, HELD_OUT = 20_000, 5
 LEAST_SUPPORT, LEAST_SURE, PRIOR = 3, 0.5, 1.0
 #: Of more sentences a pattern must be in this share of them, one in so many; and by how much a special rule must be surer than a general one.
 ONE_IN, MARGIN = 5_000, 0.05
-#: Chi-square of a term and a subject from which the term may stand in a rule with others: one in a thousand terms gets there by chance.
-LEAST_CHI = 10.83
+#: A term may stand in a rule with others if a subject goes with it so many times as often as overall, and with a chi-square that one in a thousand terms
+#: reaches by chance.
+LEAST_LIFT, LEAST_CHI = 2.0, 10.83
 #: How likely the calibrated evidence must make a subject; steps of evidence, and pseudo-sentences that pull each step to its own value.
 LEAST_LIKELY, STEPS, PSEUDO = 0.5, 20, 10
 #: A document's share of sentences, as a fraction.
@@ -50,7 +50,6 @@ def sentences(text: str) -> list[str]:
     return [s for s in _CUT.split(text) if s and _END.search(s) and not _CODE.search(s)]
 
 
-@lru_cache(maxsize=100_000)
 def stem(word: str) -> str:
     """A word in lower case without the ending of an English plural."""
     w = word.lower()
@@ -61,14 +60,30 @@ def stem(word: str) -> str:
     return w[:-1] if len(w) > 3 and w.endswith("e") else w
 
 
+class _Stems(dict):
+    """The stems of runs of letters and digits, remembered: joined words have several, numbers none."""
+
+    def __missing__(self, run: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        self[run] = out = tuple(stem(w) for w in _HUMP.sub(" ", run).split(" ") if w and not w.isdigit())
+        return out
+
+
+_STEMS = _Stems()
+
+
 def stems(sentence: str) -> list[str]:
     """The stemmed words of a sentence in order; joined and hyphenated words count as several, numbers not at all."""
-    return [stem(w) for w in _WORD.findall(_HUMP.sub(" ", sentence)) if not w.isdigit()]
+    known = _STEMS
+    return [s for run in _WORD.findall(sentence) for s in known[run]]
 
 
 def grams(words: list[str], known: frozenset[str] | set[str]) -> set[str]:
     """The n-grams all of whose words are known."""
     out, run = set(), []
+    if known.isdisjoint(words):
+        return out
     for w in words:
         if w not in known:
             run.clear()
@@ -170,7 +185,7 @@ def _items(counts: dict[str, dict[str, int]], prior: dict[str, int], total: int,
     for t, k in counts.items():
         n = k[""]
         best = max(((v / n, s) for s, v in k.items() if s), default=(0.0, ""))[0]
-        chi = max((total * (total * v - n * prior[s]) ** 2 / (n * prior[s] * (total - n) * (total - prior[s]) or 1) for s, v in k.items() if s and total * v > n * prior[s]), default=0.0)
+        chi = max((total * (total * v - n * prior[s]) ** 2 / (n * prior[s] * (total - n) * (total - prior[s]) or 1) for s, v in k.items() if s and total * v >= LEAST_LIFT * n * prior[s]), default=0.0)
         if best >= LEAST_SURE or chi >= LEAST_CHI:
             sure[t] = best
     kept_: dict[tuple[int, int], str] = {}
