@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,28 +34,24 @@ def is_name(token: Column) -> Column:
 
 def canonical(tokens: Column, keep: list[str] | None = None) -> Column:
     """Tokens with names replaced by ``func_k`` before a bracket, else by ``variable_k``, numbered as they first appear; ``keep`` names stay."""
-    stays = [*KEYWORDS, *(keep or [])]
-    free = lambda t: t.rlike("^[A-Za-z_]") & ~t.isin(stays)
-
-    def named(ts: Column) -> Column:
-        calls = F.transform(ts, lambda t, i: free(t) & F.coalesce(F.get(ts, i + 1) == "(", F.lit(False)))
-        fs = F.array_distinct(F.filter(F.transform(ts, lambda t, i: F.when(F.get(calls, i), t)), lambda t: t.isNotNull()))
-        vs = F.array_distinct(F.filter(ts, lambda t: free(t) & ~F.array_contains(fs, t)))
-
-        def of(f: Column) -> Column:
-            def each(v: Column) -> Column:
-                return F.transform(
-                    ts,
-                    lambda t: F.when(~free(t), t)
-                    .when(F.array_contains(f, t), F.concat(F.lit("func_"), (F.array_position(f, t) - 1).cast("string")))
-                    .otherwise(F.concat(F.lit("variable_"), (F.array_position(v, t) - 1).cast("string"))),
-                )
-
-            return F.get(F.transform(F.array(vs), each), F.lit(0))
-
-        return F.get(F.transform(F.array(fs), of), F.lit(0))
-
-    return F.get(F.transform(F.array(tokens), named), F.lit(0))
+    stays = frozenset([*KEYWORDS, *(keep or [])])
+
+    # Numbering by first place is linear in Python and quadratic in expressions, which counts for statements of many thousand tokens.
+    def one(ts) -> list[str] | None:
+        if ts is None:
+            return None
+        ts = list(ts)
+        free = [t is not None and t[:1].isascii() and (t[:1].isalpha() or t[:1] == "_") and t not in stays for t in ts]
+        calls = dict.fromkeys(t for t, f, after in zip(ts, free, [*ts[1:], ""]) if f and after == "(")
+        others = dict.fromkeys(t for t, f in zip(ts, free) if f and t not in calls)
+        names = {t: f"func_{k}" for k, t in enumerate(calls)} | {t: f"variable_{k}" for k, t in enumerate(others)}
+        return [names[t] if f else t for t, f in zip(ts, free)]
+
+    def named(column):
+        return column.map(one)
+
+    named.__annotations__ = {"column": pd.Series, "return": pd.Series}
+    return F.pandas_udf(named, "array<string>")(tokens)
 
 
 def is_number(token: Column) -> Column:
