@@ -10,6 +10,15 @@ WRITES_FIRST = ["strcpy", "strncpy", "strcat", "strncat", "memcpy", "memmove", "
 WRITES_FROM = {"scanf": 1, "fscanf": 2, "sscanf": 2}
 
 
+# Fixed value: all blanks that Unicode has, as SQL's trim takes them away; line feeds and tabs are none.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(x: Column) -> Column:
+    """A text without blanks of any kind at its ends."""
+    return F.btrim(x, F.lit(BLANKS))
+
+
 def arguments(code: Column, name: str) -> Column:
     """The arguments of the first call of a function, cut at commas outside nested brackets; null without such a call.
 
@@ -70,16 +79,16 @@ MARKS = ["*", "+", "-", "->", "(", ")", "[", "]", "&", ".", "::", ";", ","]
 
 
 def _symbols(tokens: Column) -> Column:
-    bare = F.transform(tokens, lambda t: F.trim(F.regexp_replace(t, "[*&]", "")))
+    bare = F.transform(tokens, lambda t: trimmed(F.regexp_replace(t, "[*&]", "")))
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
 def defined_in_text(code: Column) -> Column:
     """What a statement that no parser reads defines: the tokens before the first `` = ``, of an element of an array those before the first bracket. The
     first ``a -> b`` is one symbol, and beside an element ``a`` is one too."""
-    left = F.trim(F.get(F.split(code, " = "), F.lit(0)))
+    left = trimmed(F.get(F.split(code, " = "), F.lit(0)))
     is_element = F.endswith(left, F.lit("]"))
-    tokens = F.when(is_element, F.split(F.trim(F.get(F.split(code, r" \[ "), F.lit(0))), " ")).otherwise(F.split(left, " "))
+    tokens = F.when(is_element, F.split(trimmed(F.get(F.split(code, r" \[ "), F.lit(0))), " ")).otherwise(F.split(left, " "))
 
     def joined(t: Column) -> Column:
         at = F.array_position(t, "->").cast("int")
