@@ -11,3 +11,8 @@ def values(spark, column, *texts):
 def test_definitions_without_blanks_of_unicode(spark):
     got = values(spark, C.defined_in_text, "int   x　 = 1 ;", " * p  = q ;", "\ta = b ;", "　a [ i ]  = b ;")
     assert got == [["int", "x"], ["p"], ["\ta"], ["a"]]
+
+
+def test_uses_without_blanks_of_unicode(spark):
+    got = values(spark, C.used_in_text, "f (   ,  b  ) ;", "x = 　y  + &  z ;", "g \n  ;")
+    assert got == [["f", "b"], ["y", "z"], ["g", "\n"]]

@@ -103,7 +103,7 @@ def defined_in_text(code: Column) -> Column:
 
 def used_in_text(code: Column) -> Column:
     """What such a statement uses: the tokens behind the first `` = ``, up to the next, or all of them, without marks."""
-    right = F.when(F.contains(code, F.lit(" = ")), F.trim(F.get(F.split(code, " = "), F.lit(1)))).otherwise(code)
+    right = F.when(F.contains(code, F.lit(" = ")), trimmed(F.get(F.split(code, " = "), F.lit(1)))).otherwise(code)
     return _symbols(F.filter(F.split(right, " "), lambda t: ~t.isin(MARKS)))
 
 
