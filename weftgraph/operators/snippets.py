@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import numbered_rows
 from weftgraph.graph import CodeGraph
 from weftgraph.parse.build import graph_table, nodes_and_edges
 from weftgraph.parse.syntax import parse_statements
@@ -40,8 +41,8 @@ def calls_in_code(g: CodeGraph) -> DataFrame:
 
 
 def function_sources(g: CodeGraph) -> DataFrame:
-    """``(path, text, test_id, file_no)``: each function as one small file, its statements in order of place. Files are numbered by the ids of their
-    functions, counted from the least."""
+    """``(path, text, test_id, file_no)``: each function as one small file, its statements in order of place. Files are numbered from 0 in order of the
+    ids of their functions, however far these lie apart."""
     code = g.node("type", "code", "function_id", "start_idx", where="function_id is not null and code is not null")
     lines = lambda kinds, mark: F.array_join(F.transform(F.filter("cell", lambda x: x["kind"].isin(kinds)), lambda x: x["code"]), mark)
     cell = F.sort_array(F.collect_list(F.struct(F.coalesce("start_idx", F.lit(-1)).alias("at"), "id", "code", F.col("type").alias("kind"))))
@@ -51,8 +52,8 @@ def function_sources(g: CodeGraph) -> DataFrame:
     one = lambda x: F.when(x["kind"] == "Condition", F.concat(F.lit("if ( "), x["code"], F.lit(" ) { }"))).when(x["code"].rlike(r"[;}]\s*$"), x["code"]).otherwise(F.concat(x["code"], F.lit(" ;")))
     text = F.concat(F.lit("void "), F.coalesce("name", F.lit("f")), F.lit(" ( "), lines(["Parameter"], " , "), F.lit(" ) {\n"), F.array_join(F.transform(inside, one), "\n"), F.lit("\n}\n"))
     path = F.concat(F.lit("/functions/"), F.col("function_id").cast("string"), F.lit(".c"))
-    least = g.nodes.agg(F.min("function_id").alias("low")).scalar()
-    return bodies.join(names, "function_id").select(path.alias("path"), text.alias("text"), "test_id", (F.col("function_id") - least).alias("file_no"))
+    numbers = numbered_rows(names.select("function_id"), "function_id").select("function_id", (F.col("no") - 1).alias("file_no"))
+    return bodies.join(names, "function_id").join(numbers, "function_id").select(path.alias("path"), text.alias("text"), "test_id", "file_no")
 
 
 def rebuilt(g: CodeGraph, tainted: dict[str, list[int]] | None = None) -> CodeGraph:
