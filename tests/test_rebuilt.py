@@ -22,3 +22,4 @@ def test_function_ids_far_apart(spark, second):
     built = rebuilt(graph(spark, 1, second))
     assert built.nodes.where("type = 'Function'").count() == 2
     assert built.nodes.count() == built.nodes.select("id").distinct().count()
+    assert built.edges.where("etype = 'IS_FUNCTION_OF_AST'").count() == 2
