@@ -27,7 +27,7 @@ def arguments(code: Column, name: str) -> Column:
     nested = r"[^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*"
     inside = F.regexp_extract(code, rf"(?:^|[^A-Za-z0-9_]){name} ?\(({nested})\)", 1)
     parts = F.regexp_extract_all(inside, F.lit(r"(?:[^,()]|\([^()]*(?:\([^()]*\)[^()]*)*\))+"), F.lit(0))
-    return F.when(code.rlike(rf"(?:^|[^A-Za-z0-9_]){name} ?\("), F.transform(parts, lambda x: F.trim(x)))
+    return F.when(code.rlike(rf"(?:^|[^A-Za-z0-9_]){name} ?\("), F.transform(parts, trimmed))
 
 
 def base_name(argument: Column) -> Column:
@@ -44,10 +44,14 @@ def with_prefixes(path: Column) -> Column:
 
 def written_by_call(code: Column) -> Column:
     """The variables that copying and scanning functions write in a statement, each once, with the paths they go through."""
-    found = [F.slice(F.coalesce(arguments(code, n), F.array().cast("array<string>")), 1, 1) for n in WRITES_FIRST]
+    none = F.array().cast("array<string>")
+    found = []
+    # Most statements name none of them: a plain search of the text spares the patterns.
+    for n in WRITES_FIRST:
+        found.append(F.when(F.contains(code, F.lit(n)), F.slice(F.coalesce(arguments(code, n), none), 1, 1)).otherwise(none))
     for n, k in WRITES_FROM.items():
-        args = F.coalesce(arguments(code, n), F.array().cast("array<string>"))
-        found.append(F.slice(args, k + 1, F.greatest(F.size(args) - k, F.lit(0))))
+        rest = F.filter(F.coalesce(arguments(code, n), none), lambda x, i: i >= k)  # noqa: B023
+        found.append(F.when(F.contains(code, F.lit(n)), rest).otherwise(none))
     names = F.filter(F.transform(F.flatten(F.array(*found)), base_name), lambda x: x != "")
     return F.array_distinct(F.flatten(F.transform(names, with_prefixes)))
 
