@@ -136,9 +136,10 @@ def points_of(slice_points: DataFrame) -> DataFrame:
     return slice_points.where("node_ids is not null").select(key.alias("slice_id"), "kind", "function_id", F.explode("node_ids").alias("id")).distinct()
 
 
-def backward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None) -> DataFrame:
-    """``(slice_id, id)``: what the points depend on by data and control, and the points."""
-    edges = turned(dependence_edges(g, "function_id"))
+def backward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """``(slice_id, id)``: what the points depend on by data and control, and the points. ``edges`` are those of the dependence graph where they are
+    known."""
+    edges = turned(dependence_edges(g, "function_id") if edges is None else edges)
     return reach(edges, points.select(F.col("slice_id").alias("root"), "id"), most_hops).select(F.col("root").alias("slice_id"), "id")
 
 
@@ -148,9 +149,9 @@ def forward_slice(g: CodeGraph, points: DataFrame, most_hops: int | None = None)
     return reach(edges, points.select(F.col("slice_id").alias("root"), "id"), most_hops).select(F.col("root").alias("slice_id"), "id")
 
 
-def whole_slice(g: CodeGraph, points: DataFrame) -> DataFrame:
+def whole_slice(g: CodeGraph, points: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """``(slice_id, id)``: backward and forward slice together, in one search: the forward one runs on a copy of the graph with ids turned bit by bit."""
-    edges = cut(dependence_edges(g, "function_id"))
+    edges = cut(dependence_edges(g, "function_id")) if edges is None else edges
     flip = lambda df: df.select(*(F.bitwise_not(c).alias(c) if c != "slice_id" else F.col(c) for c in df.columns))
     ahead = flip(without_control(edges).select("src", "dst", "function_id"))
     seeds = points.select("slice_id", "id")
@@ -180,18 +181,53 @@ def crossing_slice(g: CodeGraph, points: DataFrame, caller_hops: int = 3) -> Dat
     Callers count as long as the slice takes in a parameter of the function called. Called functions are taken whole.
     """
     calls = cut(text_calls(g))
+    found = _with_callers(g, points, calls, caller_hops)
+    seeds = found.join(calls, "id").select(F.col("slice_id").alias("root"), F.col("callee").alias("id"))
+    down = reach(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds).select(F.col("root").alias("slice_id"), F.col("id").alias("function_id"))
+    inside = down.join(g.node("function_id", "is_cfg", where="is_cfg").select("id", "function_id"), "function_id").select("slice_id", "id")
+    return found.unionByName(inside).distinct()
+
+
+def _with_callers(g: CodeGraph, points: DataFrame, calls: DataFrame, caller_hops: int) -> DataFrame:
+    """``(slice_id, id)``: backward and forward slice, and what it depends on in callers."""
+    edges = cut(dependence_edges(g, "function_id"))
     params = g.node("type", "function_id", where="type = 'Parameter'").select("id", F.col("function_id").alias("callee"))
-    found = fresh = cut(whole_slice(g, points))
+    found = fresh = cut(whole_slice(g, points, edges))
     for _ in range(caller_hops):
         up = fresh.join(params, "id").select("slice_id", "callee").distinct().join(calls, "callee").select("slice_id", "id").distinct()
-        fresh = cut(backward_slice(g, up).join(found, ["slice_id", "id"], "left_anti"))
+        fresh = cut(backward_slice(g, up, edges=edges).join(found, ["slice_id", "id"], "left_anti"))
         if fresh.isEmpty():
             break
         found = cut(found.unionByName(fresh))
-    seeds = found.join(calls, "id").select(F.col("slice_id").alias("root"), F.col("callee").alias("id"))
-    down = reach(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds).select(F.col("root").alias("slice_id"), F.col("id").alias("function_id"))
-    inside = down.join(g.node("function_id", "is_cfg", where="is_cfg").select("id", "function_id"), "function_id").select("slice_id", "id")
-    return found.unionByName(inside).distinct()
+    return found
+
+
+def crossing_labels(g: CodeGraph, points: DataFrame, vul_lines: DataFrame, caller_hops: int = 3) -> DataFrame:
+    """``(slice_id, label, n_hits)``: what ``label_slices`` says of the lines of ``crossing_slice``, without listing these.
+
+    Of the functions called only those with vulnerable lines matter: they are led to their callers until a slice is met. All that a slice calls is
+    searched only where the slice itself has no line.
+    """
+    calls = cut(text_calls(g))
+    found = _with_callers(g, points, calls, caller_hops)
+    bad = vul_lines.where("path is not null and line is not null").select("path", "line").distinct()
+    place = g.node("filepath", "line", "function_id", "is_cfg", where="line >= 0 and code is not null").withColumnRenamed("filepath", "path")
+    inside = place.where("is_cfg and function_id is not null").select("function_id", "path", "line").distinct()
+    flawed = cut(inside.join(bad, ["path", "line"], "left_semi"))
+    own = cut(found.join(place, "id").select("slice_id", "path", "line").distinct())
+    entered = cut(found.join(calls, "id").select("slice_id", F.col("callee").alias("id")).distinct())
+    edges = calls.select(F.col("callee").alias("src"), F.col("caller").alias("dst"))
+    led = reach(edges, flawed.select(F.col("function_id").alias("root"), F.col("function_id").alias("id")))
+    through = entered.join(led, "id").select("slice_id", F.col("root").alias("function_id")).distinct().join(flawed, "function_id").select("slice_id", "path", "line")
+    hits = own.join(bad, ["path", "line"], "left_semi").select("slice_id", "path", "line").unionByName(through).distinct()
+    hits = hits.groupBy("slice_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = own.select("slice_id").distinct()
+    bare = cut(entered.join(placed, "slice_id", "left_anti"))
+    if not bare.isEmpty():
+        down = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), bare.withColumnRenamed("slice_id", "root"))
+        placed = placed.unionByName(down.select("root", F.col("id").alias("function_id")).join(inside, "function_id", "left_semi").select(F.col("root").alias("slice_id")).distinct())
+    n = F.coalesce("n", F.lit(0))
+    return placed.join(hits, "slice_id", "left").select("slice_id", (n > 0).cast("int").alias("label"), n.alias("n_hits"))
 
 
 def text_calls(g: CodeGraph) -> DataFrame:
