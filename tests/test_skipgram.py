@@ -1,10 +1,11 @@
-"""Skip-gram vectors made by many tasks."""
+"""Skip-gram vectors made by many tasks, and documents as their words' vectors."""
 
 import numpy as np
 import pytest
 from pyspark.ml.feature import Word2Vec
 
 from weftgraph.functions import skipgram
+from weftgraph.functions.embed import embedded
 from weftgraph.functions.skipgram import skip_gram
 
 
@@ -29,3 +30,12 @@ def test_words_with_the_same_neighbours_are_near(spark, monkeypatch, most):
 
 def test_no_words(spark):
     assert skip_gram(spark.createDataFrame([(1, []), (2, None)], "doc_id long, words array<string>")).count() == 0
+
+
+@pytest.mark.parametrize("rows", [1, 2, 10_000])
+def test_documents_as_vectors(spark, rows):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    docs = spark.createDataFrame([(1, ["a", "b", None, "a"]), (2, ["zz"]), (3, ["zz", "b"]), (4, None), (5, [])], "doc_id long, words array<string>")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0]), ("c", [9.0, 9.0])], "token string, vec array<double>")
+    assert {r.doc_id: r.x for r in embedded(docs, vectors).collect()} == {1: [[1.0, 0.0], [0.0, 3.0], [1.0, 0.0]], 3: [[0.0, 3.0]]}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
