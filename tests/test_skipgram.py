@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.feature import Word2Vec
 
 from weftgraph.functions import skipgram
-from weftgraph.functions.embed import embedded
+from weftgraph.functions.embed import embedded, mean_vectors
 from weftgraph.functions.skipgram import skip_gram
 
 
@@ -38,4 +38,6 @@ def test_documents_as_vectors(spark, rows):
     docs = spark.createDataFrame([(1, ["a", "b", None, "a"]), (2, ["zz"]), (3, ["zz", "b"]), (4, None), (5, [])], "doc_id long, words array<string>")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0]), ("c", [9.0, 9.0])], "token string, vec array<double>")
     assert {r.doc_id: r.x for r in embedded(docs, vectors).collect()} == {1: [[1.0, 0.0], [0.0, 3.0], [1.0, 0.0]], 3: [[0.0, 3.0]]}
+    assert {r.doc_id: r.vec for r in mean_vectors(docs, vectors).collect()} == {1: [pytest.approx(2 / 3), 1.0], 3: [0.0, 3.0]}
+    assert mean_vectors(docs, vectors.limit(0)).count() == 0
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
