@@ -57,7 +57,9 @@ def function_sources(g: CodeGraph) -> DataFrame:
 
 
 def rebuilt(g: CodeGraph, tainted: dict[str, list[int]] | None = None) -> CodeGraph:
-    """The graph built anew, with syntax trees, from the functions' own statements."""
+    """The graph built anew, with syntax trees, from the functions' own statements. Its nodes and its edges are lazy, each with a pass of its own that
+    makes nothing of the other."""
     spark = g.nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # parsing is work for the CPUs: small inputs must not end up in few tasks
-    return CodeGraph(*nodes_and_edges(graph_table(function_sources(g).repartition(parts), tainted)))
+    files = function_sources(g).repartition(parts)
+    return CodeGraph(*(nodes_and_edges(graph_table(files, tainted, (kind,)))[i] for i, kind in enumerate(("node", "edge"))))
