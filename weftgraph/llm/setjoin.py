@@ -40,11 +40,12 @@ def long_sets(nodes: DataFrame, least_words: int) -> tuple[DataFrame, DataFrame,
     """``rows(id, loaded_at, sid, h)`` of the long codes as delivered, ``members(id, sid)`` and ``sets(sid, h)`` of the long records.
 
     Records with the same words share a set. Rows without id are left out; of several deliveries the one with the latest ``loaded_at`` counts. The
-    rows are kept, so that codes are cut into words once.
+    rows are kept, so that codes are cut into words once, until ``similar_sets`` lets go of them; members are kept from here on.
     """
     rows = only_long(nodes.where(F.col("id").isNotNull()).select("id", "loaded_at", "code"), "code", least_words)
     rows = kept(rows.select("id", "loaded_at", F.xxhash64("h").alias("sid"), "h"))
-    members = rows.groupBy("id").agg(F.max(F.struct("loaded_at", "sid")).getField("sid").alias("sid"))
+    members = kept(rows.groupBy("id").agg(F.max(F.struct("loaded_at", "sid")).getField("sid").alias("sid")))
+    members.count()  # now, while the rows are there
     sets = rows.groupBy("sid").agg(F.first("h").alias("h"))
     return rows, members, sets
 
@@ -237,14 +238,16 @@ def _multiply(num: int, den: int, both: bool):
 def similar_sets(rows: DataFrame, sets: DataFrame, num: int, den: int, both: bool = True) -> DataFrame:
     """``(a, b, n_a, n_b, overlap)``: pairs of different sets whose overlap is at least ``num / den`` of their union, each once.
 
-    ``sets(sid, h)`` has distinct ``sid`` and sorted distinct keys, ``rows`` the same ``h`` at least once. With ``both=False`` a third column ``side`` says on which sides of the join a
+    ``sets(sid, h)`` has distinct ``sid`` and sorted distinct keys; the ``rows`` they are from are let go of as soon as the sets are kept, so that not
+    both lie on the executors' disks beside what the join writes. With ``both=False`` a third column ``side`` says on which sides of the join a
     set stands (1 left, 2 right, 3 both), and only pairs across are given, the larger set as ``a`` as else.
     """
     spark = sets.sparkSession
     if both:
         sets = sets.select("sid", "h", F.lit(LEFT | RIGHT).cast("byte").alias("side"))
     sets = kept(sets.select("sid", "h", F.col("side").cast("byte").alias("side")))
-    table = sketch(rows)
+    table = sketch(sets)
+    rows.unpersist()
     counts = spark.sparkContext.broadcast(table)
     hot = (np.zeros(0, np.int64),) * 2
     if table.max(initial=0) > BLOCK_ROWS:
@@ -261,7 +264,7 @@ def similar_sets(rows: DataFrame, sets: DataFrame, num: int, den: int, both: boo
     entries = entries.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "n")
     pairs = entries.mapInArrow(_multiply(num, den, both), "a long, b long").distinct()
     rows = sets.select("sid", "h")
+    pairs = pairs.join(rows.select(F.col("sid").alias("b"), F.col("h").alias("h_b")), "b")  # the smaller set goes to the larger one
     pairs = pairs.join(rows.select(F.col("sid").alias("a"), F.col("h").alias("h_a")), "a")
-    pairs = pairs.join(rows.select(F.col("sid").alias("b"), F.col("h").alias("h_b")), "b")
     counted = pairs.select("a", "b", F.size("h_a").alias("n_a"), F.size("h_b").alias("n_b"), F.size(F.array_intersect("h_a", "h_b")).alias("overlap"))
     return counted.where(F.col("overlap") * (num + den) >= num * (F.col("n_a") + F.col("n_b")))
