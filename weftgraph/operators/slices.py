@@ -323,3 +323,42 @@ def inlined_lines(g: CodeGraph, members: DataFrame, points: DataFrame, hops: int
     lines = rows.groupBy("slice_id", "function_id", F.col("filepath").alias("path"), "line").agg(F.array_join(F.transform(cell, lambda x: x["code"]), " ").alias("code"))
     lines = lines.join(placed, ["slice_id", "function_id"], "left")
     return lines.select("slice_id", F.concat(F.coalesce("lead", last), F.array("line")).alias("place"), "path", "line", "code")
+
+
+def crossing_lines(g: CodeGraph, points: DataFrame, caller_hops: int = 3) -> DataFrame:
+    """``(slice_id, place, path, line, code)``: what ``inlined_lines`` gives of ``crossing_slice``, without a row for each slice and statement.
+
+    Functions that are called are taken whole, so that their lines and calls are the same in every slice: they are made once for a function, and a slice
+    lists functions. Only what a slice holds by itself, its own lines and its callers', is made slice by slice, and the few functions that it holds both ways.
+    """
+    calls = cut(text_calls(g))
+    found = _with_callers(g, points, calls, caller_hops)
+    seeds = found.join(calls, "id").select(F.col("slice_id").alias("root"), F.col("callee").alias("id"))
+    down = reach(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), seeds)
+    down = cut(down.select(F.col("root").alias("slice_id"), F.col("id").alias("function_id")))
+    where = g.node("code", "line", "col", "filepath", "function_id", "is_cfg", where="line >= 0 and code is not null")
+    where = cut(where.select("id", "function_id", F.col("filepath").alias("path"), "line", "is_cfg", F.struct(F.coalesce("col", F.lit(-1)).alias("c"), "id", "code").alias("cell")))
+    whole = where.where("is_cfg and function_id is not null")
+    pair = ["slice_id", "function_id"]
+    own = found.join(where, "id")
+    both = cut(own.select(*pair).distinct().join(down, pair, "left_semi"))
+    joined = lambda rows, *by: rows.groupBy(*by, "path", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_set("cell")), lambda x: x["code"]), " ").alias("code"))
+    own_lines = joined(own.select(*pair, "path", "line", "cell").unionByName(both.join(whole, "function_id").select(*pair, "path", "line", "cell")), *pair)
+
+    placed_calls = where.select("id", "line").join(calls, "id")
+    of_whole = cut(placed_calls.groupBy("caller", "callee").agg(F.min("line").alias("line")))
+    starts = cut(points.select("slice_id", "id").join(own.select("slice_id", "id", "function_id"), ["slice_id", "id"]).select(*pair).distinct())
+    first = found.join(placed_calls, "id").select("slice_id", F.col("caller").alias("function_id"), "callee", "line").join(starts, pair, "left_semi").join(both, pair, "left_anti")
+    again = starts.join(both, pair, "left_semi").join(of_whole.withColumnRenamed("caller", "function_id"), "function_id").select(*pair, "callee", "line")
+    step = first.unionByName(again).select("slice_id", "callee", F.array("line").alias("lead"))
+    placed = starts.withColumn("lead", F.array().cast("array<int>"))
+    for _ in range(MOST_ROUNDS):
+        step = step.groupBy("slice_id", F.col("callee").alias("function_id")).agg(F.min("lead").alias("lead"))
+        fresh = cut(step.join(placed.select(*pair), pair, "left_anti"))
+        if fresh.isEmpty():
+            break
+        placed = placed.unionByName(fresh)
+        step = fresh.withColumnRenamed("function_id", "caller").join(of_whole, "caller").select("slice_id", "callee", F.concat("lead", F.array("line")).alias("lead"))
+    called = down.join(both, pair, "left_anti").join(placed, pair, "left").join(joined(whole, "function_id"), "function_id")
+    lines = called.unionByName(own_lines.join(placed, pair, "left"), allowMissingColumns=False)
+    return lines.select("slice_id", F.concat(F.coalesce("lead", F.array(F.lit(2**31 - 1))), F.array("line")).alias("place"), "path", "line", "code")
