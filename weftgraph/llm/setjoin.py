@@ -3,8 +3,8 @@
 The matrix has a row for each distinct set and a column for each word key. Columns are ordered from rare to common, and of each set only the
 entries of a prefix take part: two sets with similarity t or more share at least ``ceil(t / (1 + t) * (|a| + |b|))`` keys, so that one of the first
 ``|a| - ceil(t * |a|) + 1`` of either is shared, whatever the order of columns. The product is formed column by column, in blocks of bounded
-height, and a pair is dropped inside its block as soon as a bound from the sizes, from the positions of the shared key, or from two 128-bit
-profiles of the sets shows that the overlap can't suffice. What remains is counted exactly on the full rows.
+height, and a pair is dropped inside its block as soon as a bound from the sizes, from the positions of the shared key, or from two profiles of the
+sets, of 128 bits and for large sets of up to 1,024, shows that the overlap can't suffice. What remains is counted exactly on the full rows.
 
 The order of columns comes from a sketch of fixed width that holds how many rows fall on each counter. The order steers the cost alone; any order
 gives the same result. A column is cut into blocks by its exact height: only columns whose counter is high enough to be hot are counted, so that
@@ -30,8 +30,12 @@ BLOCK_ROWS = 4096
 MOST_HOT = 1_000_000
 #: Entries that a task multiplies, about; more entries take more tasks.
 ENTRIES_A_TASK = 4_000_000
-#: Pairs held in memory at a time while a block is multiplied.
-PAIRS_AT_ONCE = 2_000_000
+#: Sets whose entries are made at a time.
+SETS_AT_ONCE = 1000
+#: Pairs held in memory at a time while a block is multiplied, and pairs whose wide profiles are compared at a time.
+PAIRS_AT_ONCE, WIDE_AT_ONCE = 2_000_000, 100_000
+#: Sets of more keys than this fill the 128 bits, so that all look alike; their entries bring a wide profile too, of that many longs at most.
+NARROW, WIDE = 128, 16
 
 LEFT, RIGHT = 1, 2
 
@@ -90,6 +94,24 @@ def hot_columns(sets: DataFrame, counts, most: int) -> DataFrame:
     return tall.where(F.col("n") > most)
 
 
+def _longs(n: np.ndarray) -> np.ndarray:
+    """How many longs the wide profiles of sets of ``n`` keys have: a power of two that gives each key a bit, up to ``WIDE``, none for small sets."""
+    return np.where(n <= NARROW, 0, np.minimum(WIDE, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(np.int64)))
+
+
+def _wide(h: np.ndarray, row: np.ndarray, longs: np.ndarray) -> np.ndarray:
+    """The wide profiles of all rows, one behind the other."""
+    own = longs[row]
+    h, row, own = h[own > 0], row[own > 0], own[own > 0]
+    at = (np.cumsum(longs) - longs)[row] + ((h >> 6) & (own - 1))
+    out = np.zeros(int(longs.sum()), np.uint64)
+    if len(h):
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        out[at[order][starts]] = np.bitwise_or.reduceat(np.uint64(1) << (h[order] & 63).astype(np.uint64), starts)
+    return out.view(np.int64)
+
+
 def _entries(counts, num: int, den: int, hot=None):
     """From sets to the matrix entries of their prefixes, each sent to every block pair that needs it.
 
@@ -101,9 +123,7 @@ def _entries(counts, num: int, den: int, hot=None):
         table = counts.value
         hot_keys, heights = hot.value if hot is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         mask = len(table) - 1
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(low, SETS_AT_ONCE) for b in batches for low in range(0, b.num_rows, SETS_AT_ONCE)):
             h, at = _lists(b.column(1))
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
@@ -112,13 +132,15 @@ def _entries(counts, num: int, den: int, hot=None):
             for lane in (0, 1):
                 bits = np.where((h >> 6) & 1 == lane, np.uint64(1) << (h & 63).astype(np.uint64), np.uint64(0))
                 lanes.append(np.bitwise_or.reduceat(bits, at[:-1]).view(np.int64))
+            longs = _longs(n)
+            wide, wide_at = _wide(h, row, longs), np.cumsum(longs) - longs
             order = np.lexsort((h, count, row))
             pos = np.arange(len(h)) - np.repeat(at[:-1], n)
             prefix = n - (num * n + den - 1) // den + 1
             key, count = h[order], count[order]
             take = (pos < np.repeat(prefix, n)) & (count > 1)
             key, count, pos, row = key[take], count[take], pos[take], row[take]
-            sid = b.column(0).to_numpy()[row]
+            sid, k = b.column(0).to_numpy()[row], longs[row]
             side = b.column(2).to_numpy()[row].astype(np.int64)
             blocks = np.ones(len(key), np.int64)
             if len(hot_keys):
@@ -134,7 +156,11 @@ def _entries(counts, num: int, den: int, hot=None):
             upper = (own[rep] == high).astype(np.int64)  # of the two blocks that meet, the one an entry is from
             meta = (pos.astype(np.int64) << 3) | side
             cols = [key[rep], block, n[row][rep].astype(np.int32), sid[rep], meta[rep] | (upper << 2), lanes[0][row][rep], lanes[1][row][rep]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "block", "n", "sid", "meta", "s0", "s1"])
+            k, first = k[rep], wide_at[row][rep]
+            ends = np.r_[0, np.cumsum(k)]
+            flat = wide[np.arange(ends[-1]) - np.repeat(ends[:-1], k) + np.repeat(first, k)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), lists], ["key", "block", "n", "sid", "meta", "s0", "s1", "wide"])
 
     return run
 
@@ -150,14 +176,43 @@ def cut_blocks(entries: DataFrame, hot: DataFrame) -> DataFrame:
     return entries.where("block <> -1").unionByName(tall.select(*entries.columns))
 
 
-ENTRY = "key long, block long, n int, sid long, meta long, s0 long, s1 long"
+ENTRY = "key long, block long, n int, sid long, meta long, s0 long, s1 long, wide array<long>"
+
+
+def _rows_of(column: pa.Array) -> np.ndarray:
+    """Wide profiles as a matrix, shorter ones filled up with zeros."""
+    values, at = _lists(column)
+    k = np.diff(at)
+    out = np.zeros((len(k), WIDE), np.int64)
+    out[np.repeat(np.arange(len(k)), k), np.arange(len(values)) - np.repeat(at[:-1], k)] = values
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At least how many keys of the one set are not in the other, and the other way round, by their profiles."""
+    return tuple(np.bitwise_count(p.view(np.uint64)).astype(np.int64).sum(axis=1) for p in (x & ~y, y & ~x))
+
+
+def _by_wide(x: np.ndarray, y: np.ndarray, n: np.ndarray, wide: np.ndarray, num: int, whole: int) -> np.ndarray:
+    """Which pairs of large sets may still have the overlap, by profiles folded to the width of the smaller set; pairs with a small set may."""
+    may = np.ones(len(x), bool)
+    size = np.minimum(_longs(n[x]), _longs(n[y]))
+    for k in np.unique(size[size > 0]):
+        of_k = np.flatnonzero(size == k)
+        for low in range(0, len(of_k), WIDE_AT_ONCE):
+            some = of_k[low : low + WIDE_AT_ONCE]
+            folded = (np.bitwise_or.reduce(wide[z[some]].reshape(len(some), -1, k), axis=1) for z in (x, y))
+            only_x, only_y = _apart(*folded)
+            n_x, n_y = n[x[some]].astype(np.int64), n[y[some]].astype(np.int64)
+            may[some] = np.minimum(n_x - only_x, n_y - only_y) * whole >= num * (n_x + n_y)
+    return may
 
 
 def _multiply(num: int, den: int, both: bool):
     """Pairs of each block, smaller set second; rows come sorted by column, block and size."""
     whole = num + den
 
-    def pairs_of(key, block, n, sid, meta, s0, s1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(key, block, n, sid, meta, s0, s1, wide) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         pos, upper, side = meta >> 3, (meta >> 2) & 1, meta & 3
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
         group = np.zeros(len(key), np.int64)
@@ -187,9 +242,11 @@ def _multiply(num: int, den: int, both: bool):
             if apart.any():  # two blocks meet: pairs within one of them belong to its own group
                 same = upper[x] == upper[y]
                 x, y = x[~(apart & same)], y[~(apart & same)]
-            differ = sum(np.bitwise_count((s[x] ^ s[y]).view(np.uint64)).astype(np.int64) for s in (s0, s1))
-            most = (n[x].astype(np.int64) + n[y] - differ) // 2
-            ok = most * whole >= num * (n[x].astype(np.int64) + n[y])
+            n_x, n_y = n[x].astype(np.int64), n[y].astype(np.int64)
+            only_x, only_y = (sum(np.bitwise_count((s[p] & ~s[q]).view(np.uint64)).astype(np.int64) for s in (s0, s1)) for p, q in ((x, y), (y, x)))
+            ok = np.minimum(n_x - only_x, n_y - only_y) * whole >= num * (n_x + n_y)
+            x, y = x[ok], y[ok]
+            ok = _by_wide(x, y, n, wide, num, whole)
             x, y = x[ok], y[ok]
             turn = (n[x] == n[y]) & (sid[x] < sid[y])
             yield np.where(turn, sid[y], sid[x]), np.where(turn, sid[x], sid[y])
@@ -211,7 +268,7 @@ def _multiply(num: int, den: int, both: bool):
                     size += len(a)
 
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [*(c.to_numpy() for c in batch.columns[:-1]), _rows_of(batch.columns[-1])]
             cols = cols if held is None else [np.concatenate([p, q]) for p, q in zip(held, cols)]
             key, block = cols[0], cols[1]
             if len(key) < 50_000:
